@@ -13,7 +13,15 @@ from pyspark.sql import types as T
 
 from pairmill.functions.text import let, split_break, split_mid
 from pairmill.operators.once import compute_once
-from pairmill.operators.rows import JsonRow, NESTED_KEYS, StructRow, json_messages
+from pairmill.operators.rows import (
+    NESTED_KEYS,
+    STRICT,
+    JsonRow,
+    StructRow,
+    is_one_value,
+    json_messages,
+    json_texts,
+)
 
 # Roles that may join or open a prompt, roles that answer, and the filler for
 # a conversation without an answer.
@@ -169,15 +177,15 @@ def _json_pair_v1(df: DataFrame) -> DataFrame:
 
 def json_objects_v1(list_text: Column) -> Column:
     """Object messages with the older, shorter key lists (no ``uid``, no ``text``)."""
-    fields = "array<struct<role:string,from:string,content:string,value:string>>"
-    texts = F.from_json(list_text, "array<string>", {"allowSingleQuotes": "false"})
-    kinds = F.from_json(list_text, "array<variant>", {"allowSingleQuotes": "false"})
+    fields = "role string, from string, content string, value string"
+    texts = F.from_json(list_text, "array<string>", STRICT)
+    kinds = F.from_json(list_text, "array<variant>", STRICT)
     opened = F.transform(
         F.filter(
             F.arrays_zip(texts.alias("text"), kinds.alias("kind")),
             lambda e: F.schema_of_variant(e["kind"]).startswith("OBJECT"),
         ),
-        lambda e: F.from_json(e["text"], fields[6:-1], {"allowSingleQuotes": "false"}),
+        lambda e: F.from_json(e["text"], fields, STRICT),
     )
     return F.transform(
         opened,
@@ -234,7 +242,7 @@ def drop_empty_pairs(df: DataFrame) -> DataFrame:
 
 def quarantine(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Rows the ladder leaves without a pair, and why."""
-    readable = F.from_json(raw, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull()
+    readable = F.coalesce(is_one_value(F.col(raw)), F.lit(False)) & json_texts(F.col(raw)).isNotNull()
     reason = (
         F.when(F.col("pair").isNull() & ~readable, "not an object")
         .when(F.col("pair").isNull(), "no rule")

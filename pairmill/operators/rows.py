@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairmill.functions.text import let, strip
+from pairmill.functions.text import WHITESPACE, let
 from pairmill.operators.once import compute_once
 
 MESSAGE_TYPE = "array<struct<pos:int,role:string,content:string>>"
@@ -28,7 +28,7 @@ DEFAULT_ROLE = "turn"
 STRING_ROLES = ("system_event", "agent_action")
 NESTED_KEYS = ("messages", "conversations", "trajectory")
 
-_STRICT = {"allowSingleQuotes": "false"}
+STRICT = {"allowSingleQuotes": "false"}
 _TEXTS = "map<string,string>"
 _KINDS = "map<string,variant>"
 _EMPTY_VALUES = ("0", "0.0", "-0.0", "false", "[]", "{}")
@@ -54,7 +54,12 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _is_one_value(text: Column) -> Column:
+def json_texts(text: Column) -> Column:
+    """Values of a JSON object as texts, in row order; containers keep their own order too."""
+    return F.from_json(text, _TEXTS, STRICT)
+
+
+def is_one_value(text: Column) -> Column:
     """Well-formed JSON with nothing behind it."""
     return F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
 
@@ -63,14 +68,14 @@ def json_messages(list_text: Column) -> Column:
     """Message list held as the text of a JSON array."""
     keys = dict.fromkeys(ROLE_KEYS + CONTENT_KEYS)
     fields = T.StructType([T.StructField(k, T.StringType()) for k in keys])
-    texts = F.from_json(list_text, "array<string>", _STRICT)
-    kinds = F.from_json(list_text, "array<variant>", _STRICT)
+    texts = F.from_json(list_text, "array<string>", STRICT)
+    kinds = F.from_json(list_text, "array<variant>", STRICT)
     opened = F.transform(
         F.arrays_zip(texts.alias("text"), kinds.alias("kind")),
         lambda e: F.struct(
             e["text"].alias("text"),
             _kind(e["kind"]).alias("kind"),
-            F.from_json(e["text"], fields, _STRICT).alias("obj"),
+            F.from_json(e["text"], fields, STRICT).alias("obj"),
         ),
     )
 
@@ -144,30 +149,27 @@ class JsonRow:
 
     @classmethod
     def attach(cls, df: DataFrame, raw: str, unpack: bool) -> DataFrame:
-        df = compute_once(
-            df,
-            {
-                cls.body: F.when(_is_one_value(F.col(raw)), F.col(raw)),
-                cls.texts: F.when(_is_one_value(F.col(raw)), F.from_json(raw, _TEXTS, _STRICT)),
-            },
-        )
+        df = compute_once(df, {cls.body: F.when(is_one_value(F.col(raw)), F.col(raw))})
+        parsed = {
+            cls.texts: F.from_json(cls.body, _TEXTS, STRICT),
+            cls.kinds: F.from_json(cls.body, _KINDS, STRICT),
+        }
+        df = compute_once(df, parsed)
         if not unpack:
-            return compute_once(df, {cls.kinds: F.from_json(cls.body, _KINDS, _STRICT)})
-        # a map of texts tells strings from objects only together with their kinds; the text
-        # field is the one value whose kind matters before the rest of the row is looked at
+            return df
         inner = cls().text("text")
-        quoted = _kind(F.try_variant_get(F.try_parse_json(cls.body), "$.text", "variant")) == "STRING"
-        spelled = strip(inner).startswith("{") & _is_one_value(inner)
-        packed = F.when(spelled, F.when(quoted, F.from_json(inner, _TEXTS, _STRICT)))
+        spelled = F.ltrim(inner, F.lit(WHITESPACE)).startswith("{")
+        packed = F.when(
+            spelled, F.when(cls().is_string("text") & is_one_value(inner), F.from_json(inner, _TEXTS, STRICT))
+        )
         df = compute_once(df, {"_packed": packed})
         fresh = F.col("_packed").isNotNull()
-        body = F.when(fresh, inner).otherwise(F.col(cls.body))
         return compute_once(
             df,
             {
-                cls.body: body,
+                cls.body: F.when(fresh, inner).otherwise(F.col(cls.body)),
                 cls.texts: F.when(fresh, F.col("_packed")).otherwise(F.col(cls.texts)),
-                cls.kinds: F.from_json(body, _KINDS, _STRICT),
+                cls.kinds: F.when(fresh, F.from_json(inner, _KINDS, STRICT)).otherwise(F.col(cls.kinds)),
             },
         ).drop("_packed")
 

@@ -53,15 +53,6 @@ def featurize_pairs(
     return made.select(*[c for c in SAMPLE_COLUMNS if c in made.columns])
 
 
-def spread(raw: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Even out text lengths before heavy work: a file of long texts is otherwise one slow task.
-
-    Placement follows the row's own key, so a rerun of a lost task sees the same rows.
-    """
-    keys = [c for c in ("source", "row_pos") if c in raw.columns]
-    return raw.repartition(tasks, *keys) if tasks else raw.repartition(*keys)
-
-
 def resume_rows(raw: DataFrame, shards: DataFrame) -> DataFrame:
     """Rows no shard holds yet; the key is unique, so no source can make the join uneven."""
     keys = ["domain", "source", "row_pos"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmill.functions.text import BREAK_CHARS, WHITESPACE
+from pairmill.operators.layout import spread
 from pairmill.operators.tokens import TOKEN_PATTERN, split_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents on all cores, for work that is heavy per row."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def token_lengths(text: str = "text") -> Column:
     """Stand-in ids: the length of every token of a text."""
     return F.transform(split_tokens(F.col(text)), lambda t: F.length(t))
@@ -38,7 +44,7 @@ def token_lengths(text: str = "text") -> Column:
 
 def docs_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under the names shards use: language as domain, source as source."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("lang").alias("domain"), "source", F.col("doc_id").alias("row_pos"), "text"
     )
 

@@ -10,7 +10,7 @@ from pairmill.operators import tokens as tok
 from pairmill.operators.normalize import drop_empty_pairs
 from pairmill.operators.vectors import concept_vector, hash_encoder, score_batches
 from pairmill.plans.featurize import accept_pairs, featurize_pairs
-from pairmill.registry.base import SQL_CUT_DOCS, SQL_TOKENS, query, sql_tokens, table
+from pairmill.registry.base import SQL_CUT_DOCS, SQL_TOKENS, documents, query, sql_tokens
 
 DIM = 64
 
@@ -21,7 +21,7 @@ vocab AS (SELECT token, n, cast(row_number() OVER (ORDER BY n DESC, token) + 1 A
 
 
 def doc_vocab(spark, sf_dir):
-    return tok.build_vocab(table(spark, sf_dir, "documents").select("text"), "text")
+    return tok.build_vocab(documents(spark, sf_dir).select("text"), "text")
 
 
 def sql_ids(source: str, column: str, out: str, limit: int = 2048) -> str:
@@ -62,7 +62,7 @@ def build_vocab(spark, sf_dir):
 
 @query("tokenize_corpus", f"WITH {SQL_VOCAB}, {sql_ids('documents', 'text', 'coded')} SELECT doc_id, ids, n FROM coded")
 def tokenize_corpus(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     made = tok.tokenize_corpus(docs, doc_vocab(spark, sf_dir), {"text": "ids"})
     return made.select("doc_id", joined(F.col("ids")).alias("ids"), F.size("ids").cast("bigint").alias("n"))
 
@@ -75,7 +75,7 @@ def tokenize_corpus(spark, sf_dir):
 )
 def decode_tokens(spark, sf_dir):
     vocab = doc_vocab(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     coded = docs.select("doc_id", tok.id_lookup(vocab)(tok.split_tokens(F.col("text"))).alias("ids"))
     return tok.decode_tokens(coded, vocab, "ids", "decoded").drop("ids")
 
@@ -88,7 +88,7 @@ def decode_tokens(spark, sf_dir):
 def drop_empty_tokens(spark, sf_dir):
     from pairmill.functions.text import split_break
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", split_break(F.col("text")).alias("pair"))
+    docs = documents(spark, sf_dir).select("doc_id", split_break(F.col("text")).alias("pair"))
     made = docs.select(
         "doc_id",
         tok.split_tokens(F.col("pair.prompt")).alias("a"),
@@ -105,7 +105,7 @@ _VECTORS = f"WITH {sql_vectors('documents', 'text', 'made')} SELECT doc_id, vect
 
 @query("concept_vector", _VECTORS)
 def concept_vector_query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", packed_vector(concept_vector(tok.split_tokens(F.col("text")), DIM)).alias("vector"))
 
 
@@ -121,13 +121,13 @@ def microbatch_score(spark, sf_dir):
         lists = [regex.findall(tok.TOKEN_PATTERN, t)[:512] for t in texts]
         return encode(pa.array(lists, type=pa.list_(pa.string())))
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     made = score_batches(docs, encoder, "text")
     return made.select("doc_id", packed_vector(F.col("target_concept")).alias("vector"))
 
 
 def document_rows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("lang").alias("domain"),
         "source",
         F.col("source").alias("dataset"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairmill.functions import text as text_fn
 from pairmill.operators import normalize as norm
-from pairmill.registry.base import SQL_CUT_DOCS, SQL_FOLDED, query, table
+from pairmill.registry.base import SQL_CUT_DOCS, SQL_FOLDED, documents, query, table
 
 def _cols():
     return F.col("text"), F.col("source"), F.col("lang")
@@ -21,7 +21,7 @@ def _turns(*messages):
 
 
 def _from_docs(spark, sf_dir, raw, version="v2"):
-    docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    docs = documents(spark, sf_dir).select("doc_id", raw.alias("raw"))
     made = norm.pair_columns(norm.normalize_pairs(docs, "raw", version))
     return made.select("doc_id", "prompt", "response", "rule")
 
@@ -93,7 +93,7 @@ def text_split_break(spark, sf_dir):
 @query("text_split_mid", f"WITH {SQL_CUT_DOCS} SELECT doc_id, mp AS prompt, mr AS response FROM cut_docs")
 def text_split_mid(spark, sf_dir):
     T, S, L = _cols()
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     halves = docs.select("doc_id", text_fn.split_mid(T).alias("pair"))
     return halves.select("doc_id", "pair.prompt", "pair.response")
 
@@ -116,7 +116,7 @@ def longest_leaf(spark, sf_dir):
     T, S, L = _cols()
     from pairmill.operators.rows import StructRow
 
-    docs = table(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir).select(
         "doc_id", F.struct(S, F.struct(L, F.array(T).alias("parts")).alias("inner")).alias("row")
     )
     return docs.select("doc_id", StructRow(docs.schema["row"].dataType, F.col("row")).longest().alias("leaf"))
@@ -136,7 +136,7 @@ def unpack_embedded_json(spark, sf_dir):
         .when(F.col("doc_id") % 3 == 1, _object(text=inner, extra=L))
         .otherwise(_object(text=F.concat(F.lit("{"), T)))
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    docs = documents(spark, sf_dir).select("doc_id", raw.alias("raw"))
     return norm.unpack_embedded_json(docs)
 
 
@@ -153,9 +153,9 @@ def drop_empty_pairs(spark, sf_dir):
 
 @query(
     "row_quarantine",
-    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'not an object' WHEN doc_id % 5 = 1 THEN 'empty side'
-         ELSE 'no rule' END AS reason FROM documents
-       WHERE doc_id % 5 < 2 OR length(text) <= 10""",
+    f"""WITH {SQL_CUT_DOCS}, judged AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'not an object'
+        WHEN doc_id % 5 = 1 OR sp = '' OR sr = '' THEN 'empty side' WHEN sp IS NULL THEN 'no rule' END AS reason
+      FROM cut_docs) SELECT doc_id, reason FROM judged WHERE reason IS NOT NULL""",
 )
 def row_quarantine(spark, sf_dir):
     T, S, L = _cols()
@@ -164,7 +164,7 @@ def row_quarantine(spark, sf_dir):
         .when(F.col("doc_id") % 5 == 1, _object(Q=T, A=F.lit("")))
         .otherwise(_object(text=T))
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    docs = documents(spark, sf_dir).select("doc_id", raw.alias("raw"))
     return norm.quarantine(norm.normalize_pairs(docs)).select("doc_id", "reason")
 
 
@@ -237,7 +237,7 @@ def msgs_recursive_key(spark, sf_dir):
 def union_configs(spark, sf_dir):
     from pairmill.sources.catalog import union_configs as union
 
-    docs = table(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir).select(
         F.lit("doc").alias("kind"), F.col("doc_id").alias("row_id"), "text", "lang"
     )
     turns = table(spark, sf_dir, "conversations").select(

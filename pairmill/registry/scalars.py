@@ -10,6 +10,7 @@ from pairmill.operators.rows import stringify
 from pairmill.registry.base import (
     SQL_LENGTHS,
     SQL_TOKENS,
+    documents,
     query,
     sql_strip,
     table,
@@ -74,7 +75,7 @@ _FENCED = """CASE doc_id % 3
 
 @query("extract_code_block", f"SELECT doc_id, {sql_strip('text')} AS code FROM documents")
 def extract_code_block(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     answer = F.expr(_FENCED.replace("chr(10)", "char(10)"))
     return docs.select("doc_id", text.code_block(answer).alias("code"))
 
@@ -131,7 +132,7 @@ def l2_norm_check(spark, sf_dir):
 def token_truncate(spark, sf_dir):
     from pairmill.operators.tokens import split_tokens
 
-    docs = table(spark, sf_dir, "documents").withColumn("tokens", split_tokens(F.col("text")))
+    docs = documents(spark, sf_dir).withColumn("tokens", split_tokens(F.col("text")))
     return docs.select(
         "doc_id",
         F.size("tokens").cast("bigint").alias("n_tokens"),
@@ -147,7 +148,7 @@ def token_truncate(spark, sf_dir):
       array_to_string(CASE WHEN len(ids) > 1 THEN ids[2:] ELSE ids END, ',') AS decoder_target FROM t""",
 )
 def teacher_shift_query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", token_lengths().alias("ids"))
+    docs = documents(spark, sf_dir).select("doc_id", token_lengths().alias("ids"))
     made = teacher_shift(docs, "ids")
     return made.select(
         "doc_id", *[arrays.joined(F.col(c)).alias(c) for c in ("decoder_input", "decoder_target")]
@@ -161,7 +162,7 @@ def teacher_shift_query(spark, sf_dir):
       list_transform(range(257 - len(ids)), lambda i: 0)), ',') AS padded FROM t""",
 )
 def pad_fixed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", arrays.joined(arrays.pad_fixed(token_lengths())).alias("padded"))
 
 
@@ -173,7 +174,7 @@ def pad_fixed(spark, sf_dir):
       array_to_string(ids[k * 4096 + 1 : (k + 1) * 4096], ',') AS ids FROM w""",
 )
 def window_tokens_query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", token_lengths().alias("ids"))
+    docs = documents(spark, sf_dir).select("doc_id", token_lengths().alias("ids"))
     made = window_tokens(docs, "ids")
     return made.select("doc_id", "window_id", arrays.joined(F.col("ids")).alias("ids"))
 
@@ -186,7 +187,7 @@ def window_tokens_query(spark, sf_dir):
       cast(least(64, greatest(8, least(4096, n - k * 4096) // 64)) AS INT) AS budget FROM w""",
 )
 def dynamic_budget(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", token_lengths().alias("ids"))
+    docs = documents(spark, sf_dir).select("doc_id", token_lengths().alias("ids"))
     made = window_tokens(docs, "ids")
     return made.select("doc_id", "window_id", schedules.loop_budget(F.size("ids")).alias("budget"))
 

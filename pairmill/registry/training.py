@@ -10,6 +10,7 @@ from pairmill.operators.numbering import number_rows
 from pairmill.registry.base import (
     SQL_LENGTHS,
     docs_as_rows,
+    documents,
     query,
     table,
     token_lengths,
@@ -18,6 +19,15 @@ from pairmill.registry.shards import CHUNK, _CHUNKED, chunked_docs
 
 MB = 4
 
+
+def _seconds():
+    """Seconds since the start of the log, the same in every session time zone."""
+    return F.expr(
+        "(unix_micros(cast(ts AS timestamp)) - unix_micros(cast(TIMESTAMP_NTZ'2024-01-01' AS timestamp)))"
+        " / cast(1000000 AS double)"
+    )
+
+
 # ------------------------------------------------------------------ feed
 
 
@@ -131,7 +141,7 @@ def chunk_loss_avg(spark, sf_dir):
     "total_loss",
     """WITH e AS (SELECT event_id, value, cast(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
     SELECT event_id, round(value + (CASE WHEN event_id >= 1000 THEN 1.0 ELSE 0.01 + event_id / 1000.0 * 0.99 END)
-      * (k / 100 + 0.1 * (value / 10) + 0.5 * (k / 50)) + 0.01 * k + value / 1000, 6) AS total_loss FROM e""",
+      * (k / 100 + 0.1 * (value / 10) + 0.5 * (k / 50)) + 0.01 * k + value / 1000, 9) AS total_loss FROM e""",
 )
 def total_loss(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("double")
@@ -143,7 +153,7 @@ def total_loss(spark, sf_dir):
         k.alias("route_loss"),
         (F.col("value") / 1000).alias("energy"),
     )
-    return metrics.total_loss(rows).select("event_id", F.round("total_loss", 6).alias("total_loss"))
+    return metrics.total_loss(rows).select("event_id", F.round("total_loss", 9).alias("total_loss"))
 
 
 def _batched(spark, sf_dir, size=8):
@@ -252,7 +262,7 @@ def energy_norm(spark, sf_dir):
     FROM t GROUP BY doc_id""",
 )
 def masked_ce(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(token_lengths()).alias("n"))
+    tokens = documents(spark, sf_dir).select("doc_id", F.explode(token_lengths()).alias("n"))
     rows = tokens.select(
         "doc_id", F.when(F.col("n") > 1, F.col("n")).otherwise(0).alias("target"), F.log(F.col("n") + 1).alias("nll")
     )
@@ -262,7 +272,7 @@ def masked_ce(spark, sf_dir):
 
 @query(
     "shard_throughput",
-    """WITH s AS (SELECT event_id, event_type, epoch_us(ts) / 1000000.0::DOUBLE AS sec,
+    """WITH s AS (SELECT event_id, event_type, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000.0::DOUBLE AS sec,
       cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
     l AS (SELECT *, sec - lag(sec) OVER (PARTITION BY event_type ORDER BY event_id) AS gap FROM s)
     SELECT event_id, event_type, k, round(CASE WHEN gap > 0 THEN k / gap WHEN gap IS NOT NULL THEN 0 END, 6)
@@ -271,7 +281,7 @@ def masked_ce(spark, sf_dir):
 def shard_throughput(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(
         "event_id", "event_type",
-        (F.unix_micros("ts") / 1000000.0).alias("sec"),
+        _seconds().alias("sec"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
     made = metrics.shard_throughput(rows, ["event_type"], "event_id", "sec", "k")
@@ -280,7 +290,7 @@ def shard_throughput(spark, sf_dir):
 
 @query(
     "trace_speed",
-    f"""WITH {_EPOCHS}, s AS (SELECT event_id, global_mb, epoch_us(ts) / 1000000.0::DOUBLE AS sec FROM stepped
+    f"""WITH {_EPOCHS}, s AS (SELECT event_id, global_mb, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000.0::DOUBLE AS sec FROM stepped
       WHERE global_mb % 10 = 0),
     l AS (SELECT *, sec - lag(sec) OVER (ORDER BY global_mb) AS gap FROM s)
     SELECT event_id, global_mb, round(CASE WHEN gap > 0 THEN 10 / gap WHEN gap IS NOT NULL THEN 0 END, 6) AS it_per_sec
@@ -288,7 +298,7 @@ def shard_throughput(spark, sf_dir):
 )
 def trace_speed(spark, sf_dir):
     made = feed.trace_sample(stepped_events(spark, sf_dir), F.col("global_mb")).select(
-        "event_id", "global_mb", (F.unix_micros("ts") / 1000000.0).alias("sec")
+        "event_id", "global_mb", _seconds().alias("sec")
     )
     made = metrics.trace_speed(made, [], "global_mb", "sec")
     return made.select("event_id", "global_mb", F.round("it_per_sec", 6).alias("it_per_sec"))
