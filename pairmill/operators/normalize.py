@@ -138,30 +138,33 @@ def _longest(row) -> Column:
 
 def _json_pair_v2(df: DataFrame) -> DataFrame:
     row = JsonRow()
-    from_params, param_messages = row.parameter_input()
+    from_params, param_list = row.parameter_input()
     df = compute_once(df, {"_early": _early_v2(row)})
-    still_open = F.col("_early").isNull()
+    unmatched = F.col("_early").isNull()
     df = compute_once(
         df,
         {
-            "_params": F.when(still_open, F.coalesce(from_params, F.lit(False))),
-            "_first": F.when(still_open, row.first_list()),
+            "_params": F.when(unmatched, F.coalesce(from_params, F.lit(False))),
+            "_list": F.when(
+                unmatched, F.when(from_params, param_list).otherwise(row.first_list())
+            ),
         },
     )
-    messages = F.when(F.col("_params"), param_messages).when(
-        F.col("_first").isNotNull(), json_messages(F.col("_first"))
-    )
-    df = compute_once(df, {"_listed": F.when(still_open, fold_v2(messages))})
-    still_open = still_open & F.col("_listed").isNull()
-    df = compute_once(df, {"_late": F.when(still_open, _late_v2(row))})
+    # a list that opens with a string or an object always folds; only a parameter list may not
+    unmatched = unmatched & (F.col("_list").isNull() | (F.col("_params") & ~row.params_open()))
+    df = compute_once(df, {"_late": F.when(unmatched, _late_v2(row))})
+    hidden = ~F.col("_params") & row.may_nest(NESTED_KEYS)
     leafless = F.col("_late").isNull() & ~row.is_flat()
-    searched = (~F.col("_params") & row.may_nest(NESTED_KEYS)) | leafless
-    df = JsonRow.attach_nested(df, still_open & searched, NESTED_KEYS)
-    nested = F.when(still_open & ~F.col("_params") & row.nested_found(), row.nested_messages())
+    df = JsonRow.attach_nested(df, unmatched & (hidden | leafless), NESTED_KEYS)
+    nested = F.when(~F.col("_params") & row.nested_found(), row.nested_list())
+    folded = fold_v2(json_messages(F.coalesce(F.col("_list"), nested)))
     pair = F.coalesce(
-        F.col("_early"), F.col("_listed"), fold_v2(nested), F.col("_late"), _longest(row)
+        F.col("_early"),
+        F.when(F.col("_early").isNull(), folded),
+        F.col("_late"),
+        F.when(unmatched, _longest(row)),
     )
-    return compute_once(df, {"pair": pair}).drop("_early", "_params", "_first", "_listed", "_late")
+    return compute_once(df, {"pair": pair}).drop("_early", "_params", "_list", "_late")
 
 
 def _json_pair_v1(df: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def _opens(value: Column) -> Column:
+    kind = _kind(value)
+    return (kind == "STRING") | kind.startswith("OBJECT")
+
+
 def json_texts(text: Column) -> Column:
     """Values of a JSON object as texts, in row order; containers keep their own order too."""
     return F.from_json(text, _TEXTS, STRICT)
@@ -194,30 +199,29 @@ class JsonRow:
         nothing = (text == "") | (text.isin(*_EMPTY_VALUES) & ~self.is_string(key))
         return text.isNotNull() & ~nothing
 
+    def _params(self, path: str) -> Column:
+        return F.try_variant_get(self._variant("responses_create_params"), path, "variant")
+
     def parameter_input(self) -> tuple[Column, Column]:
-        value = F.try_variant_get(self._variant("responses_create_params"), "$.input", "variant")
+        """Whether the parameter block names a filled input, and its text when that is a list."""
+        kind = _kind(self._params("$.input"))
         text = F.get_json_object(self.text("responses_create_params"), "$.input")
-        nothing = (text == "") | (text.isin(*_EMPTY_VALUES) & (_kind(value) != "STRING"))
-        filled = text.isNotNull() & ~nothing
-        return filled, F.when(_kind(value).startswith("ARRAY"), json_messages(text))
+        nothing = (text == "") | (text.isin(*_EMPTY_VALUES) & (kind != "STRING"))
+        return text.isNotNull() & ~nothing, F.when(kind.startswith("ARRAY"), text)
+
+    def params_open(self) -> Column:
+        return F.coalesce(_opens(self._params("$.input[0]")), F.lit(False))
 
     def first_list(self) -> Column:
         """Text of the first listed value, in row order, that opens with a string or an object."""
-        opened = F.filter(
+        listed = F.filter(
             F.arrays_zip(
                 F.map_values(self.texts).alias("text"), F.map_values(self.kinds).alias("kind")
             ),
-            lambda e: e["text"].startswith("["),
+            lambda e: e["text"].startswith("[")
+            & _opens(F.try_variant_get(e["kind"], "$[0]", "variant")),
         )
-
-        def opens(e: Column) -> Column:
-            kind = _kind(F.try_variant_get(e["kind"], "$[0]", "variant"))
-            return (kind == "STRING") | kind.startswith("OBJECT")
-
-        return F.get(F.filter(opened, opens), F.lit(0))["text"]
-
-    def first_list_messages(self) -> Column:
-        return json_messages(self.first_list())
+        return F.get(listed, F.lit(0))["text"]
 
     def may_nest(self, keys: tuple[str, ...]) -> Column:
         """False only when no object at any depth can hold one of ``keys``."""
@@ -249,8 +253,8 @@ class JsonRow:
     def nested_found(self) -> Column:
         return F.coalesce(F.col(self.nested)["found"], F.lit(False))
 
-    def nested_messages(self) -> Column:
-        return json_messages(F.col(self.nested)["list_text"])
+    def nested_list(self) -> Column:
+        return F.col(self.nested)["list_text"]
 
     def longest(self) -> Column:
         return F.when(self.is_flat(), self.flat_longest()).otherwise(F.col(self.nested)["longest"])

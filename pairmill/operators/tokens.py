@@ -33,7 +33,7 @@ def split_tokens(text: Column) -> Column:
 
 def count_tokens(df: DataFrame, *texts: str) -> DataFrame:
     """Occurrences per token; the map side combines, so a hot token costs one row per task."""
-    tokens = F.flatten(F.array(*[split_tokens(F.col(t)) for t in texts]))
+    tokens = F.concat(*[split_tokens(F.col(t)) for t in texts])
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n")
     )
