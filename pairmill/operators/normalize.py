@@ -21,6 +21,7 @@ from pairmill.operators.rows import (
     is_one_value,
     json_messages,
     json_texts,
+    spelled_object,
 )
 
 # Roles that may join or open a prompt, roles that answer, and the filler for
@@ -38,9 +39,7 @@ def _pair(prompt: Column, response: Column, rule: str) -> Column:
 
 
 def _named(halves: Column, rule: str) -> Column:
-    return F.when(
-        halves.isNotNull(), let(halves, lambda h: _pair(h["prompt"], h["response"], rule))
-    )
+    return let(halves, lambda h: F.when(h.isNotNull(), _pair(h["prompt"], h["response"], rule)))
 
 
 def _both(row, left: str, right: str, rule: str) -> Column:
@@ -81,7 +80,7 @@ def fold_v2(messages: Column) -> Column:
         answer = F.when(F.size(tail) > 0, F.array_join(tail, "\n")).otherwise(F.lit(NO_RESPONSE))
         return F.when(F.size(head) > 0, _pair(F.array_join(head, "\n"), answer, "conversation"))
 
-    return F.when(messages.isNotNull(), let(messages, fold))
+    return let(messages, fold)
 
 
 def fold_v1(messages: Column) -> Column:
@@ -96,7 +95,7 @@ def fold_v1(messages: Column) -> Column:
             _pair(F.concat(first["role"], F.lit(": "), first["content"]), last, "conversation"),
         )
 
-    return F.when(messages.isNotNull(), let(messages, fold))
+    return let(messages, fold)
 
 
 def _early_v2(row) -> Column:
@@ -206,24 +205,37 @@ def normalize_pairs(df: DataFrame, raw: str = "raw", version: str = "v2") -> Dat
     return made.drop(*JsonRow.columns)
 
 
-def normalize_struct(df: DataFrame, column: str, version: str = "v2") -> DataFrame:
-    """Add ``pair`` to rows with a declared struct column, without parsing anything."""
-    schema = df.schema[column].dataType
-    if not isinstance(schema, T.StructType):
-        raise TypeError(f"{column} is not a struct")
-    row = StructRow(schema, F.col(column))
+def _struct_pair(row: StructRow, version: str) -> Column:
     if version == "v1":
         found, messages = row.nested(NESTED_KEYS_V1)
         folded = F.when(found & (F.size(messages) >= 2), fold_v1(messages))
-        return compute_once(df, {"pair": F.coalesce(folded, _late_v1(row), _longest(row))})
+        return F.coalesce(folded, _late_v1(row), _longest(row))
     from_params, param_messages = row.parameter_input()
     found, messages = row.nested(NESTED_KEYS)
     listed = row.first_list_messages()
     folded = fold_v2(
-        F.when(from_params, param_messages).when(listed.isNotNull(), listed).when(found, messages)
+        F.when(from_params, param_messages).otherwise(F.coalesce(listed, F.when(found, messages)))
     )
-    pair = F.coalesce(_early_v2(row), folded, _late_v2(row), _longest(row))
-    return compute_once(df, {"pair": pair})
+    return F.coalesce(_early_v2(row), folded, _late_v2(row), _longest(row))
+
+
+def normalize_struct(df: DataFrame, column: str, version: str = "v2") -> DataFrame:
+    """Add ``pair`` to rows with a declared struct column.
+
+    Nothing is parsed but a ``text`` field that spells out an object, which the current rules
+    put in place of the row; such rows take the JSON form of the same ladder.
+    """
+    schema = df.schema[column].dataType
+    if not isinstance(schema, T.StructType):
+        raise TypeError(f"{column} is not a struct")
+    pair = _struct_pair(StructRow(schema, F.col(column)), version)
+    if version == "v1" or "text" not in schema.names or schema["text"].dataType != T.StringType():
+        return compute_once(df, {"pair": pair})
+    df = compute_once(df, {"_inner": spelled_object(F.col(column)["text"])})
+    df = _json_pair_v2(JsonRow.attach(df, "_inner", unpack=False)).drop(*JsonRow.columns)
+    replaced = F.col("_inner").isNotNull()
+    pair = F.when(replaced, F.col("pair")).otherwise(F.when(~replaced, pair))
+    return compute_once(df, {"pair": pair}).drop("_inner")
 
 
 def unpack_embedded_json(df: DataFrame, raw: str = "raw") -> DataFrame:

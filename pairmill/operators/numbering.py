@@ -18,6 +18,10 @@ SPAN = 50_000
 CHUNK_SIZE = 1000
 
 
+def _range(position: str, span: int) -> Column:
+    return F.expr(f"`{position}` div {span}")
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -31,7 +35,7 @@ def number_rows(
     With ``limit`` only numbers below it stay; ranges that lie beyond are gone before ranking.
     """
     keys = list(keys)
-    ranged = df.withColumn("_range", F.floor(F.col(position) / span))
+    ranged = df.withColumn("_range", _range(position, span))
     counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -52,7 +56,7 @@ def previous_value(
 ) -> DataFrame:
     """Add ``value`` of the row before, by ``position`` within ``keys``; NULL on the first."""
     keys = list(keys)
-    ranged = df.withColumn("_range", F.floor(F.col(position) / span))
+    ranged = df.withColumn("_range", _range(position, span))
     ends = ranged.groupBy(*keys, "_range").agg(F.max_by(value, position).alias("_end"))
     earlier = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_range"))
     ends = ends.select(*keys, "_range", earlier.alias("_earlier"))
@@ -83,7 +87,7 @@ def chunk_assign(
     if already is not None:
         made = made.join(already.select(*keys, F.col("n_rows").alias("_done")), list(keys), "left")
         made = made.withColumn("_number", F.col("_number") + F.coalesce("_done", F.lit(0))).drop("_done")
-    chunk = F.floor(F.col("_number") / chunk_size)
+    chunk = _range("_number", chunk_size)
     if first_chunk is not None:
         made = made.join(first_chunk, list(keys), "left")
         chunk = chunk + F.coalesce("next_chunk", F.lit(0))

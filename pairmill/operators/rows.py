@@ -69,6 +69,15 @@ def is_one_value(text: Column) -> Column:
     return F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
 
 
+def _opens_object(text: Column) -> Column:
+    return F.ltrim(text, F.lit(WHITESPACE)).startswith("{")
+
+
+def spelled_object(text: Column) -> Column:
+    """``text`` where it is a JSON object from end to end, else NULL."""
+    return F.when(_opens_object(text), F.when(is_one_value(text) & json_texts(text).isNotNull(), text))
+
+
 def json_messages(list_text: Column) -> Column:
     """Message list held as the text of a JSON array."""
     keys = dict.fromkeys(ROLE_KEYS + CONTENT_KEYS)
@@ -156,18 +165,15 @@ class JsonRow:
     def attach(cls, df: DataFrame, raw: str, unpack: bool) -> DataFrame:
         df = compute_once(df, {cls.body: F.when(is_one_value(F.col(raw)), F.col(raw))})
         parsed = {
-            cls.texts: F.from_json(cls.body, _TEXTS, STRICT),
+            cls.texts: json_texts(F.col(cls.body)),
             cls.kinds: F.from_json(cls.body, _KINDS, STRICT),
         }
         df = compute_once(df, parsed)
         if not unpack:
             return df
         inner = cls().text("text")
-        spelled = F.ltrim(inner, F.lit(WHITESPACE)).startswith("{")
-        packed = F.when(
-            spelled, F.when(cls().is_string("text") & is_one_value(inner), F.from_json(inner, _TEXTS, STRICT))
-        )
-        df = compute_once(df, {"_packed": packed})
+        packed = F.when(cls().is_string("text"), json_texts(spelled_object(inner)))
+        df = compute_once(df, {"_packed": F.when(_opens_object(inner), packed)})
         fresh = F.col("_packed").isNotNull()
         return compute_once(
             df,

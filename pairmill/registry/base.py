@@ -42,9 +42,10 @@ def token_lengths(text: str = "text") -> Column:
     return F.transform(split_tokens(F.col(text)), lambda t: F.length(t))
 
 
-def docs_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def docs_as_rows(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """Documents under the names shards use: language as domain, source as source."""
-    return documents(spark, sf_dir).select(
+    docs = documents(spark, sf_dir) if heavy else table(spark, sf_dir, "documents")
+    return docs.select(
         F.col("lang").alias("domain"), "source", F.col("doc_id").alias("row_pos"), "text"
     )
 

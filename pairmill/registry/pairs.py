@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairmill.functions import text as text_fn
 from pairmill.operators import normalize as norm
-from pairmill.registry.base import SQL_CUT_DOCS, SQL_FOLDED, documents, query, table
+from pairmill.registry.base import ORACLES, SQL_CUT_DOCS, SQL_FOLDED, documents, query, table
 
 def _cols():
     return F.col("text"), F.col("source"), F.col("lang")
@@ -338,3 +338,65 @@ _J = """'{"Q":' || cast(to_json(text) AS VARCHAR) || ',"A":"' || source || '"}'"
 )
 def normalize_pairs_v1(spark, sf_dir):
     return _from_docs(spark, sf_dir, all_shapes(), "v1")
+
+
+# ------------------------------------------------------------------ declared structs
+
+
+def typed_shapes():
+    """The same shapes as fields of one declared struct, NULL where a shape lacks them."""
+    T, S, L = _cols()
+    shape = F.col("doc_id") % len(_shapes())
+
+    def only(value, *shapes):
+        return F.when(shape.isin(*shapes), value)
+
+    def pair(role, content, *messages):
+        return _turns(*[{role: F.lit(r), content: c} for r, c in messages])
+
+    opened = pair("role", "content", ("user", T), ("assistant", S))
+    fields = {
+        "问": only(T, 0),
+        "答": only(S, 0),
+        "Q": only(T, 1),
+        "A": only(S, 1),
+        "abstract": F.when(shape == 2, S).when(shape == 3, F.lit("")),
+        "full_text": only(T, 2),
+        "text": F.when(shape == 2, L).when(shape.isin(3, 15), T).when(shape == 17, _object(Q=T, A=S)),
+        "zh": only(T, 4),
+        "en": only(S, 4),
+        "prompt": only(T, 5, 12),
+        "completion": only(S, 5),
+        "current_prompt": only(T, 6),
+        "responses_create_params": only(F.struct(opened.alias("input")), 7),
+        "turns": only(pair("from", "value", ("Human", T), ("gpt", S)), 8),
+        "tags": only(F.array(T, S), 9),
+        "info": only(F.struct(F.struct(pair("role", "content", ("user", T)).alias("messages")).alias("inner")), 10),
+        "instruction": F.when(shape == 9, L).when(shape == 11, T),
+        "input": only(L, 11),
+        "output": F.when(shape == 9, L).when(shape == 11, S),
+        "response": only(S, 6, 12),
+        "question": only(T, 13),
+        "answer": only(S, 13),
+        "role": only(S, 14),
+        "content": only(T, 14),
+        "body": only(F.struct(T.alias("main"), S.alias("side")), 16),
+        "conversations": only(pair("from", "value", ("human", T), ("gpt", S)), 18),
+    }
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+
+def _from_structs(spark, sf_dir, version):
+    docs = documents(spark, sf_dir).select("doc_id", typed_shapes().alias("row"))
+    made = norm.pair_columns(norm.normalize_struct(docs, "row", version))
+    return made.select("doc_id", "prompt", "response", "rule")
+
+
+@query("normalize_struct_v2", ORACLES["normalize_pairs_v2"])
+def normalize_struct_v2(spark, sf_dir):
+    return _from_structs(spark, sf_dir, "v2")
+
+
+@query("normalize_struct_v1", ORACLES["normalize_pairs_v1"])
+def normalize_struct_v1(spark, sf_dir):
+    return _from_structs(spark, sf_dir, "v1")

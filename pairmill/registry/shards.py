@@ -212,7 +212,7 @@ def shard_manifest_query(spark, sf_dir):
     from pairmill.functions.arrays import truncate
     from pairmill.plans.featurize import accept_pairs
 
-    rows = docs_as_rows(spark, sf_dir).withColumn("raw", F.to_json(F.struct("text"))).drop("text")
+    rows = docs_as_rows(spark, sf_dir, heavy=True).withColumn("raw", F.to_json(F.struct("text"))).drop("text")
     pairs = drop_empty_pairs(accept_pairs(rows))
     samples = pairs.select(
         "domain", "source", "row_pos",

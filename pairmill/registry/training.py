@@ -311,7 +311,7 @@ def trace_speed(spark, sf_dir):
       cast(sum(n) AS BIGINT) AS ids_sum, round(avg(n), 8) AS ids_avg FROM t GROUP BY ALL""",
 )
 def token_length_stats(spark, sf_dir):
-    rows = docs_as_rows(spark, sf_dir).withColumn("ids", token_lengths())
+    rows = docs_as_rows(spark, sf_dir, heavy=True).withColumn("ids", token_lengths())
     made = metrics.token_length_stats(rows, ["domain", "source"], "ids")
     return made.drop("ids_median").withColumn("ids_avg", F.round("ids_avg", 8))
 

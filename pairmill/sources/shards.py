@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairmill.functions.text import shard_name
 
-CHUNKS_PER_FILE = 100
+CHUNKS_PER_FILE = 20
 
 
 def write_shards(

@@ -116,8 +116,8 @@ def test_declared_struct_gives_the_same_pairs_as_json_text(spark, version):
     skipped = 0
     for i, (row, *_rest) in enumerate(CASES):
         text = json.dumps(row, ensure_ascii=False)
-        if any(mark in text for mark in ('"text": "{', '"text": "  {', "3, ", "[1, {", "null", '"a": [2]', '"z": 1', "[]")):
-            skipped += 1  # embedded JSON, mixed lists and nulls have no declared form
+        if any(mark in text for mark in ("3, ", "[1, {", "null", '"a": [2]', '"z": 1', "[]")):
+            skipped += 1  # mixed lists and nulls have no declared form
             continue
         if i % 2 and version == "v1":
             continue  # half of the rows is enough for the second version
