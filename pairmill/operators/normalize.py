@@ -269,8 +269,8 @@ def quarantine(df: DataFrame, raw: str = "raw") -> DataFrame:
 def fold_conversation_v2(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """One pair per conversation from exploded turns.
 
-    The result row holds the conversation's whole text, so a group is never larger than the
-    cell it becomes; ``collect_list`` combines on the map side first.
+    The result row holds the conversation's whole text, so this form is for conversations that
+    fit a row. ``conversations.fold_to_tokens`` gives the same tokens for one of any length.
     """
     listed = turns.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order), F.lower("role").alias("role"), "text"))).alias("_turns")

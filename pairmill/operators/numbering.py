@@ -51,6 +51,27 @@ def number_rows(
     return made.drop("_range", "_before")
 
 
+def running_total(
+    df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, span: int = SPAN
+) -> DataFrame:
+    """Add the sum of ``value`` over all rows before, by ``position`` within ``keys``."""
+    keys = list(keys)
+    ranged = df.withColumn("_range", _range(position, span))
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = (
+        Window.partitionBy(*keys, "_range")
+        .orderBy(position)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return (
+        ranged.join(sums, [*keys, "_range"])
+        .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("_range", "_before")
+    )
+
+
 def previous_value(
     df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, span: int = SPAN
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairmill.functions import text as text_fn
 from pairmill.operators import normalize as norm
-from pairmill.registry.base import ORACLES, SQL_CUT_DOCS, SQL_FOLDED, documents, query, table
+from pairmill.registry.base import ORACLES, SQL_CUT_DOCS, SQL_FOLDED, documents, query, sql_tokens, table
 
 def _cols():
     return F.col("text"), F.col("source"), F.col("lang")
@@ -192,6 +192,18 @@ def fold_conversation_v1(spark, sf_dir):
     return norm.fold_conversation_v1(table(spark, sf_dir, "conversations"))
 
 
+@query(
+    "fold_conversation_tokens",
+    f"""WITH {SQL_FOLDED} SELECT conv_id, array_to_string(({sql_tokens('prompt')})[:2048], ' ') AS prompt,
+      array_to_string(({sql_tokens('response')})[:2048], ' ') AS response FROM folded""",
+)
+def fold_conversation_tokens(spark, sf_dir):
+    from pairmill.operators.conversations import fold_to_tokens
+
+    made = fold_to_tokens(table(spark, sf_dir, "conversations"))
+    return made.select("conv_id", *[F.array_join(c, " ").alias(c) for c in ("prompt", "response")])
+
+
 def _conversation_rows(spark, sf_dir, role, content):
     turns = table(spark, sf_dir, "conversations")
     listed = turns.groupBy("conv_id").agg(

@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairmill.functions import arrays, schedules, text
-from pairmill.operators import feed, metrics, numbering, pairs, rollouts, tokens
+from pairmill.operators import conversations, feed, metrics, numbering, pairs, rollouts, tokens
+from pairmill.operators.normalize import fold_conversation_v2
 from pairmill.registry.base import table, token_lengths
 
 
@@ -253,3 +254,27 @@ def test_unit_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     made = [r.u for r in df.select(arrays.l2_normalize(F.col("v")).alias("u")).collect()]
     assert made == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_one_conversation_with_almost_all_turns(spark):
+    """A hot conversation: small ranges and a small limit give the tokens of the whole text, cut."""
+    rows = [("hot", i * 3, "user" if i % 2 == 0 else "assistant", f"word{i} and, more") for i in range(500)]
+    rows += [("b", 7, "assistant", "only"), ("c", 0, "system", "s"), ("c", 4, "Human", "u " * 40)]
+    turns = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string")
+    for limit in (1, 6, 50, 10_000):
+        short = {r.conv_id: r for r in conversations.fold_to_tokens(turns, limit=limit, span=10).collect()}
+        whole = fold_conversation_v2(turns).select(
+            "conv_id",
+            *[arrays.truncate(tokens.split_tokens(F.col(c)), limit).alias(c) for c in ("prompt", "response")],
+        )
+        for row in whole.collect():
+            assert (short[row.conv_id].prompt, short[row.conv_id].response) == (row.prompt, row.response)
+
+
+def test_running_total(docs):
+    rows = docs.select("source", F.col("doc_id").alias("row_pos"), F.length("text").alias("n"))
+    before = Window.partitionBy("source").orderBy("row_pos").rowsBetween(Window.unboundedPreceding, -1)
+    plain = rows.withColumn("want", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    for span in (1, 13, 10_000):
+        made = numbering.running_total(rows, ["source"], "row_pos", "n", "total", span)
+        assert made.join(plain, ["source", "row_pos"]).where("total <> want").count() == 0
