@@ -17,6 +17,7 @@ BREAK_CHARS = ("\n", "。", "！", "？", ".", "!", "?")
 BREAK_REACH = 150
 LONG_TEXT = 100
 SHORT_TEXT = 10
+TO_THE_END = 2**31 - 1
 # Fixed pattern: a fenced block with an optional language tag.
 CODE_FENCE = "(?is)```(?:rust)?\\n(.*?)```"
 # Fixed text: what a failed attempt adds to its prompt.
@@ -52,32 +53,40 @@ def shard_chunk_id(name: Column) -> Column:
 
 def _halves(c: Column, cut: Column, clean: bool) -> Column:
     left = F.substring(c, F.lit(1), cut)
-    right = F.substring(c, cut + 1, F.length(c))
+    right = F.substring(c, cut + 1, F.lit(TO_THE_END))
     if clean:
         left, right = strip(left), strip(right)
     return F.struct(left.alias("prompt"), right.alias("response"))
 
 
-def split_mid(c: Column, clean: bool = False) -> Column:
+def _half(n: Column) -> Column:
+    return F.shiftright(n, 1)
+
+
+def split_mid(c: Column) -> Column:
     """Two halves of a text longer than ten characters, else NULL."""
-    cut = F.floor(F.length(c) / 2).cast("int")
-    return F.when(F.length(c) > SHORT_TEXT, _halves(c, cut, clean))
+    return let(F.length(c), lambda n: F.when(n > SHORT_TEXT, _halves(c, _half(n), clean=False)))
 
 
 def split_break(c: Column) -> Column:
-    """Cut a long text after the best break character near its middle; short ones in half."""
-    mid = F.floor(F.length(c) / 2).cast("int")
-    start = F.greatest(F.lit(0), mid - BREAK_REACH)
-    stop = F.least(F.length(c), mid + BREAK_REACH)
-    near = F.substring(c, start + 1, stop - start)
+    """Cut a long text after the best break character near its middle; short ones in half.
 
-    def after_break(window: Column) -> Column:
-        found = [F.nullif(F.instr(window, ch), F.lit(0)) for ch in BREAK_CHARS]
-        return F.coalesce(*found)
+    Finding the length of a text reads all of it, so the length is bound before it is used.
+    """
 
-    cut = F.coalesce(start + let(near, after_break), mid)
-    long = let(cut, lambda at: _halves(c, at, clean=True))
-    return F.when(F.length(c) > LONG_TEXT, long).otherwise(split_mid(c, clean=True))
+    def after_break(window: Column) -> Column:
+        return F.coalesce(*[F.nullif(F.instr(window, ch), F.lit(0)) for ch in BREAK_CHARS])
+
+    def cut(n: Column) -> Column:
+        start = F.greatest(F.lit(0), _half(n) - BREAK_REACH)
+        stop = F.least(n, _half(n) + BREAK_REACH)
+        found = let(F.substring(c, start + 1, stop - start), after_break)
+        return F.when(n > LONG_TEXT, F.coalesce(start + found, _half(n))).when(
+            n > SHORT_TEXT, _half(n)
+        )
+
+    place = let(F.length(c), cut)
+    return let(place, lambda at: F.when(at.isNotNull(), _halves(c, at, clean=True)))
 
 
 def code_block(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairmill.functions.arrays import cosine, is_unit_norm, l2_norm
@@ -97,6 +97,12 @@ def source_totals(df: DataFrame, keys: Sequence[str] = ("domain", "source")) ->
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def with_row_counter(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
+    """The same rows, and a count of them that is there once an action has run over them."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows")), seen
+
+
 def shard_manifest(
     df: DataFrame,
     keys: Sequence[str] = ("domain", "source", "chunk_id"),

@@ -18,9 +18,8 @@ from pairmill.operators.rows import (
     STRICT,
     JsonRow,
     StructRow,
-    is_one_value,
     json_messages,
-    json_texts,
+    object_texts,
     spelled_object,
 )
 
@@ -257,7 +256,7 @@ def drop_empty_pairs(df: DataFrame) -> DataFrame:
 
 def quarantine(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Rows the ladder leaves without a pair, and why."""
-    readable = F.coalesce(is_one_value(F.col(raw)), F.lit(False)) & json_texts(F.col(raw)).isNotNull()
+    readable = object_texts(F.col(raw)).isNotNull()
     reason = (
         F.when(F.col("pair").isNull() & ~readable, "not an object")
         .when(F.col("pair").isNull(), "no rule")

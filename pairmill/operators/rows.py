@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairmill.functions.text import WHITESPACE, let
+from pairmill.functions.text import SHORT_TEXT, WHITESPACE, let
 from pairmill.operators.once import compute_once
 
 MESSAGE_TYPE = "array<struct<pos:int,role:string,content:string>>"
@@ -59,14 +59,18 @@ def _opens(value: Column) -> Column:
     return (kind == "STRING") | kind.startswith("OBJECT")
 
 
-def json_texts(text: Column) -> Column:
-    """Values of a JSON object as texts, in row order; containers keep their own order too."""
-    return F.from_json(text, _TEXTS, STRICT)
+def object_texts(text: Column) -> Column:
+    """Values of a JSON object as texts, in row order; NULL unless ``text`` is one object.
 
+    The reader stops after one value and does not see what follows it, so the text is read as
+    the only element of a list.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{_TEXTS}>", STRICT)
+    return let(listed, lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))))
 
-def is_one_value(text: Column) -> Column:
-    """Well-formed JSON with nothing behind it."""
-    return F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+
+def _kinds_of(text: Column) -> Column:
+    return F.from_json(text, _KINDS, STRICT)
 
 
 def _opens_object(text: Column) -> Column:
@@ -75,7 +79,7 @@ def _opens_object(text: Column) -> Column:
 
 def spelled_object(text: Column) -> Column:
     """``text`` where it is a JSON object from end to end, else NULL."""
-    return F.when(_opens_object(text), F.when(is_one_value(text) & json_texts(text).isNotNull(), text))
+    return F.when(_opens_object(text), F.when(object_texts(text).isNotNull(), text))
 
 
 def json_messages(list_text: Column) -> Column:
@@ -163,16 +167,14 @@ class JsonRow:
 
     @classmethod
     def attach(cls, df: DataFrame, raw: str, unpack: bool) -> DataFrame:
-        df = compute_once(df, {cls.body: F.when(is_one_value(F.col(raw)), F.col(raw))})
-        parsed = {
-            cls.texts: json_texts(F.col(cls.body)),
-            cls.kinds: F.from_json(cls.body, _KINDS, STRICT),
-        }
-        df = compute_once(df, parsed)
+        row = cls()
+        df = compute_once(df, {cls.texts: object_texts(F.col(raw))})
+        df = df.withColumn(cls.body, F.when(F.col(cls.texts).isNotNull(), F.col(raw)))
+        df = compute_once(df, {cls.kinds: F.when(row._kinds_matter(), _kinds_of(F.col(cls.body)))})
         if not unpack:
             return df
-        inner = cls().text("text")
-        packed = F.when(cls().is_string("text"), json_texts(spelled_object(inner)))
+        inner = row.text("text")
+        packed = F.when(row.is_string("text"), object_texts(inner))
         df = compute_once(df, {"_packed": F.when(_opens_object(inner), packed)})
         fresh = F.col("_packed").isNotNull()
         return compute_once(
@@ -180,10 +182,17 @@ class JsonRow:
             {
                 cls.body: F.when(fresh, inner).otherwise(F.col(cls.body)),
                 cls.texts: F.when(fresh, F.col("_packed")).otherwise(F.col(cls.texts)),
-                cls.kinds: F.when(fresh, F.from_json(inner, _KINDS, STRICT)).otherwise(F.col(cls.kinds)),
+                cls.kinds: F.when(fresh, _kinds_of(inner)).otherwise(F.col(cls.kinds)),
             },
         ).drop("_packed")
 
+    def _kinds_matter(self) -> Column:
+        """Whether any rule can ask what kind a value has: not for plain texts with scalars."""
+        nested = F.exists(F.map_values(self.texts), lambda v: v.startswith("[") | v.startswith("{"))
+        asked = self.text("abstract").isNotNull() | self.text("input").isNotNull()
+        no_text = F.coalesce(F.length(self.text("text")), F.lit(0)) <= SHORT_TEXT
+        return asked | nested | no_text
+
     @classmethod
     def attach_nested(cls, df: DataFrame, unsettled: Column, keys: tuple[str, ...]) -> DataFrame:
         text = F.when(unsettled & F.col(cls.texts).isNotNull(), F.col(cls.body))

@@ -22,6 +22,7 @@ from pairmill.storage import staged
 
 # Fixed pattern: a run of letters and digits, or one other visible character.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
+_ANY_TOKEN = r"\S"
 # Size of the vocabulary and its reserved ids.
 VOCAB_SIZE = 151_643
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
@@ -31,6 +32,11 @@ def split_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def has_token(text: Column) -> Column:
+    """Whether a text has any token, found at its first visible character."""
+    return text.rlike(_ANY_TOKEN)
+
+
 def count_tokens(df: DataFrame, *texts: str) -> DataFrame:
     """Occurrences per token; the map side combines, so a hot token costs one row per task."""
     tokens = F.concat(*[split_tokens(F.col(t)) for t in texts])

@@ -9,8 +9,7 @@ from pairmill.functions.arrays import TOKEN_LIMIT, truncate
 from pairmill.operators.metrics import source_totals
 from pairmill.operators.normalize import drop_empty_pairs, normalize_pairs, pair_columns
 from pairmill.operators.numbering import CHUNK_SIZE, ROW_CAPS, chunk_assign, row_cap
-from pairmill.operators.once import compute_once
-from pairmill.operators.tokens import drop_empty_tokens, id_lookup, split_tokens
+from pairmill.operators.tokens import has_token, id_lookup, split_tokens
 from pairmill.operators.vectors import DIMENSION, concept_vector
 from pairmill.sources.shards import write_shards
 from pairmill.storage import staged
@@ -31,23 +30,18 @@ def featurize_pairs(
 ) -> DataFrame:
     """Tokens and vector per pair.
 
-    Both sides are split once. Empty sides go before any Python runs, because a filter on the
-    result of a Python function would run that function a second time.
+    Sides without a token go before any Python runs, told by their first visible character: a
+    filter on the result of a Python function would run that function a second time.
     """
-    made = compute_once(
-        pairs,
-        {
-            "_prompt": truncate(split_tokens(F.col("prompt")), limit),
-            "_response": truncate(split_tokens(F.col("response")), limit),
-        },
-    )
-    made = drop_empty_tokens(made, "_prompt", "_response")
+    filled = pairs.where(has_token(F.col("prompt")) & has_token(F.col("response")))
     to_ids = id_lookup(vocab)
-    made = made.withColumns(
+    prompt = truncate(split_tokens(F.col("prompt")), limit)
+    response = truncate(split_tokens(F.col("response")), limit)
+    made = filled.withColumns(
         {
-            "input_tokens": to_ids(F.col("_prompt")),
-            "response_tokens": to_ids(F.col("_response")),
-            "target_concept": concept_vector(F.col("_response"), dimension),
+            "input_tokens": to_ids(prompt),
+            "response_tokens": to_ids(response),
+            "target_concept": concept_vector(response, dimension),
         }
     )
     return made.select(*[c for c in SAMPLE_COLUMNS if c in made.columns])

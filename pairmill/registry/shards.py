@@ -27,7 +27,7 @@ from pairmill.registry.base import (
     token_lengths,
 )
 from pairmill.sources import catalog, scans, shards, trace
-from pairmill.storage import work_path
+from pairmill.storage import staged, work_path
 
 CHUNK = 10
 
@@ -219,6 +219,8 @@ def shard_manifest_query(spark, sf_dir):
         truncate(token_lengths("prompt")).alias("input_tokens"),
         truncate(token_lengths("response")).alias("response_tokens"),
     )
+    # numbering looks at its input twice; what is costly to make is written once
+    samples = staged(samples, "samples")
     return shard_manifest(numbering.chunk_assign(samples, chunk_size=CHUNK, span=100))
 
 

@@ -143,3 +143,11 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     folder = shared_dir(spark)
     assert folder == named.rstrip("/") if named else folder.startswith("/tmp/")
     assert work_path(spark, "x") != work_path(spark, "x")
+
+
+def test_row_counter(spark, raw):
+    from pairmill.operators.metrics import with_row_counter
+
+    counted, seen = with_row_counter(raw)
+    total = counted.where("row_pos >= 0").count()
+    assert seen.get == {"n_rows": total}
