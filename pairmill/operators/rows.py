@@ -191,7 +191,8 @@ class JsonRow:
         nested = F.exists(F.map_values(self.texts), lambda v: v.startswith("[") | v.startswith("{"))
         asked = self.text("abstract").isNotNull() | self.text("input").isNotNull()
         no_text = F.coalesce(F.length(self.text("text")), F.lit(0)) <= SHORT_TEXT
-        return asked | nested | no_text
+        spelled = F.coalesce(_opens_object(self.text("text")), F.lit(False))
+        return asked | nested | no_text | spelled
 
     @classmethod
     def attach_nested(cls, df: DataFrame, unsettled: Column, keys: tuple[str, ...]) -> DataFrame:

@@ -119,8 +119,8 @@ def test_declared_struct_gives_the_same_pairs_as_json_text(spark, version):
         if any(mark in text for mark in ("3, ", "[1, {", "null", '"a": [2]', '"z": 1', "[]")):
             skipped += 1  # mixed lists and nulls have no declared form
             continue
-        if i % 4 and version == "v1":
-            continue  # a quarter of the rows is enough for the second version
+        if i % (2 if version == "v2" else 6):
+            continue  # one plan per row is slow; whole tables run in test_queries
         schema = _schema_of(row)
         df = spark.createDataFrame([(text,)], "raw string").select(F.from_json("raw", schema).alias("row"))
         pair = norm.normalize_struct(df, "row", version).select("pair").first().pair
