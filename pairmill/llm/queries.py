@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm import bpe, langid, licences, weighted_sampling, winnowing
+from pairmill.llm import bpe, langid, licences, neardup, weighted_sampling, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_byte_bpe": byte_bpe,
     "op4_licence_scan": licence_scan,
     "op6_fingerprints": document_fingerprints,
+    "op8_near_duplicates": near_duplicates,
     "op9_decontamination": decontamination,
 }
 ORACLES: dict[str, str] = {}
