@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm import bpe, langid, licences, neardup, weighted_sampling, winnowing
+from pairmill.llm import bpe, interpolated_lm, langid, licences, neardup, templates, toxicity, weighted_sampling, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,25 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_texts(_table(spark, sf_dir, "documents"), parts=10)
+
+
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.crc_part("doc_id", 3) == 1)
+    teaching = _table(spark, sf_dir, "labels").filter(langid.crc_part("doc_id", 3) != 1)
+    model = toxicity.fit(docs, teaching)
+    return toxicity.score(docs, model, ["doc_id", "held_out"])
+
+
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(_table(spark, sf_dir, "pages"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -64,8 +79,11 @@ QUERIES = {
     "op1_language_id": language_id,
     "op2_byte_bpe": byte_bpe,
     "op4_licence_scan": licence_scan,
+    "op5_lm_scores": lm_scores,
     "op6_fingerprints": document_fingerprints,
+    "op7_toxicity": toxicity_scores,
     "op8_near_duplicates": near_duplicates,
     "op9_decontamination": decontamination,
+    "op10_main_text": main_texts,
 }
 ORACLES: dict[str, str] = {}
