@@ -29,8 +29,8 @@ LEAST_TEXTS, LEAST_Z = 4, 3.0
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
 #: Weight of the counterfactual penalty and of the squared weights.
-COUNTERFACTUAL, RIDGE = 1.0, 2e-4
-STEPS, RATE = 400, 0.1
+COUNTERFACTUAL, RIDGE = 1.0, 1e-5
+STEPS, RATE = 600, 0.1
 #: Identity terms by group; a term is swapped for the others of its group.
 IDENTITY_TERMS = {
     "faith": ["christian", "muslim", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic"],
