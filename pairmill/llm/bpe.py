@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmill.llm.textblock import Block, arrow_schema, map_texts
+from pairmill.llm.textblock import Block, arrow_schema, kept_ddl, map_texts
 
 #: A rank file larger than this is not sent to the tasks.
 MOST_RANK_BYTES = 64 << 20
@@ -256,10 +256,6 @@ def send_ranks(spark, path: str):
     return spark.sparkContext.broadcast(content)
 
 
-def _schema(df: DataFrame, keep: list[str], more: str) -> str:
-    return ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [more])
-
-
 def encode_texts(texts: list[str], vocabulary: Vocabulary) -> list[tuple[bytes, bytes, bytes]]:
     """For each text its ids, the code point at which each piece begins, and each piece's first token."""
     block = Block(texts)
@@ -283,12 +279,12 @@ def encode(df: DataFrame, ranks, keep: list[str], text: str = "text") -> DataFra
         rows = encode_texts(texts, _vocabulary(ranks))
         yield {k: part.column(i) for i, k in enumerate(keep)} | dict(zip(("ids", "piece_starts", "piece_tokens"), zip(*rows)))
 
-    return map_texts(df, keep, text, _schema(df, keep, "ids binary, piece_starts binary, piece_tokens binary"), work)
+    return map_texts(df, keep, text, f"{kept_ddl(df, keep)}, ids binary, piece_starts binary, piece_tokens binary", work)
 
 
 def decode(df: DataFrame, ranks, keep: list[str], ids: str = "ids", to: str = "decoded") -> DataFrame:
     """The kept columns with the bytes that the ids stand for."""
-    schema = _schema(df, keep, f"{to} binary")
+    schema = f"{kept_ddl(df, keep)}, {to} binary"
     kinds = arrow_schema(schema)
 
     def run(batches):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairmill.llm.textblock import Block, arrow_schema, chunks, map_texts, mix
+from pairmill.llm.textblock import Block, arrow_schema, chunks, kept_ddl, map_texts, mix
 
 UNDETERMINED = "und"
 BINS = 1 << 13
@@ -150,8 +150,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", bins: int =
 def predict(df: DataFrame, model: Ecoc, keep: list[str], text: str = "text", bins: int = BINS) -> DataFrame:
     """The kept columns with lang_pred, score, second (the runner-up) and ambiguous."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kinds = {f.name: f.dataType.simpleString() for f in df.select(*keep).schema}
-    schema = ", ".join([f"{k} {kinds[k]}" for k in keep] + ["lang_pred string", "score double", "second string", "ambiguous boolean"])
+    schema = f"{kept_ddl(df, keep)}, lang_pred string, score double, second string, ambiguous boolean"
 
     def work(part, texts):
         model = shared.value

@@ -16,7 +16,7 @@ import re
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from pairmill.llm.textblock import map_texts
+from pairmill.llm.textblock import kept_ddl, map_texts
 
 #: Phrases of the base scan and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -192,10 +192,10 @@ COLUMNS = (
 
 def scan_licences(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns with places of base phrases, all labels, parsed expressions and their obligation."""
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema]
+    kept = kept_ddl(df, keep)
 
     def work(part, texts):
         rows = [scan(t) for t in texts]
         yield {k: part.column(i) for i, k in enumerate(keep)} | {k: [r[k] for r in rows] for k in rows[0]}
 
-    return map_texts(df, keep, text, ", ".join([*kept, COLUMNS]), work)
+    return map_texts(df, keep, text, f"{kept}, {COLUMNS}", work)

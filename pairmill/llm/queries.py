@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm import bpe, interpolated_lm, langid, licences, neardup, templates, toxicity, weighted_sampling, winnowing
+from pairmill.llm import bpe, interpolated_lm, langid, licences, neardup, pii, templates, toxicity, weighted_sampling, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
+
+
 def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -78,6 +82,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": language_id,
     "op2_byte_bpe": byte_bpe,
+    "op3_personal_data": personal_data,
     "op4_licence_scan": licence_scan,
     "op5_lm_scores": lm_scores,
     "op6_fingerprints": document_fingerprints,

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CHUNK_CHARS = 1 << 20
 
@@ -155,12 +157,10 @@ def as_arrow(values, kind: pa.DataType) -> pa.Array:
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow form of a DDL schema; the types that these operators return."""
-    kinds = {
-        "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(),
-        "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
-        "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-        "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
-    }
-    fields = [part.strip().split(" ") for part in ddl.split(",")]
-    return pa.schema([pa.field(name, kinds[kind]) for name, kind in fields])
+    """The Arrow form of a DDL schema, made on the driver."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def kept_ddl(df: DataFrame, keep: list[str]) -> str:
+    """The kept columns' part of a DDL schema."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmill.llm.textblock import NON_ALNUM, Block, Words, map_texts, mix, span_hashes
+from pairmill.llm.textblock import NON_ALNUM, Block, Words, kept_ddl, map_texts, mix, span_hashes
 
 #: At most so many labelled rows teach; those with the least hash of the id.
 TRAINING_ROWS = 12_000
@@ -198,10 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns with score and predicted."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema]
+    kept = kept_ddl(df, keep)
 
     def work(part, texts):
         values = shared.value.scores(texts)
         yield {k: part.column(i) for i, k in enumerate(keep)} | {"score": values, "predicted": (values >= THRESHOLD).astype(np.int32)}
 
-    return map_texts(df, keep, text, ", ".join([*kept, "score double, predicted int"]), work)
+    return map_texts(df, keep, text, f"{kept}, score double, predicted int", work)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmill.llm.textblock import SPACES, Block, Words, arrow_schema, chunks, map_texts, mix
+from pairmill.llm.textblock import SPACES, Block, Words, arrow_schema, chunks, kept_ddl, map_texts, mix
 
 SAMPLES = 64
 #: Raw text bytes that one task of the pairing step holds, a little more or less.
@@ -89,12 +89,12 @@ def likeness(one: np.ndarray, two: np.ndarray) -> float:
 
 def fingerprint(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns with the fingerprint as hex, one map and no shuffle."""
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema]
+    kept = kept_ddl(df, keep)
 
     def work(part, texts):
         yield {k: part.column(i) for i, k in enumerate(keep)} | {"fingerprint": [s.tobytes().hex() for s in fingerprints(texts)]}
 
-    return map_texts(df, keep, text, ", ".join([*kept, "fingerprint string"]), work)
+    return map_texts(df, keep, text, f"{kept}, fingerprint string", work)
 
 
 def edit(text: str, following: str) -> str:
