@@ -6,8 +6,9 @@ key from each collection names a table, so PARTS * PARTS tables of 2 * ROWS rows
 probability below 2 (1 - J ** ROWS) ** PARTS.
 
 Equal sets are one class first, so copies never meet in pairs. In a bucket of classes all are compared
-with one hub, in a few rounds with other hubs, each round only across components not yet joined; what
-then still stands apart in one bucket is compared directly. No pair inside a component is made.
+with its most central member, in a few rounds with others, each round only across components not yet
+joined. Classes that then still stand apart in a bucket meet once more by their rarest shingles, which
+loses no pair and makes few. No pair inside a component is made.
 
 Cases: texts with fewer words than the width are one shingle; a null, empty or blank text has no
 shingles and links with nothing; a null id links with nothing and is kept; rows of one id are one node
@@ -119,6 +120,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different labels that may still be alike: their rarest shingles must meet.
+
+    Of n shingles a partner shares at least ``percent`` in a hundred, so it shares one of the n less that
+    many, plus one, that are rarest (one order for all). A shingle of one class alone meets nothing.
+    """
+    schema = "id bigint, gram bigint"
+    kinds = arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), i)), pa.array(grams)], schema=kinds)
+
+    own = sets.join(apart.select(F.col("class").alias("id")).distinct(), "id").select("id", "grams")
+    grams = staged(own.mapInArrow(run, schema), "grams")
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    ranked = grams.join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("all"))
+    share = F.expr(f"size(all) - int(ceil({percent} * size(all) / 100.0)) + 1")
+    prefix = ranked.select(F.col("id").alias("class"), F.explode(F.slice("all", F.lit(1), share)).alias("x"))
+    prefix = prefix.filter("x.often > 1").select("class", "x.gram").join(apart, "class")
+    prefix = staged(prefix, "prefix")
+    other = prefix.select("gram", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    close = f"class < b AND label <> label_b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+    return prefix.join(other, "gram").filter(close).select(F.col("class").alias("a"), "b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node reachable) for all nodes of the edges, by repeated contraction.
 
@@ -158,12 +187,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         "class", "n_shingles", "i", "key_one", F.posexplode("two").alias("j", "key_two")
     )
     keyed = tables.select(F.xxhash64("i", "j", "key_one", "key_two").alias("key"), "class", F.col("n_shingles").alias("n"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = staged(keyed.join(shared, "key"), "members")
-    sets = staged(_sets(df, doc_id, text, width, members.select(F.col("class").alias("id")).distinct()).dropDuplicates(["id", "grams"]), "sets")
+    central = members.groupBy("class").agg(F.sum("members").alias("central"))
+    members = staged(members.join(central, "class"), "central")
+    sets = staged(_sets(df, doc_id, text, width, central.select(F.col("class").alias("id"))).dropDuplicates(["id", "grams"]), "sets")
 
-    labels, links = None, None
-    close = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+    labels, links, used = None, None, None
     for turn in range(HUB_ROUNDS + 1):
         if labels is None:
             marked = members.withColumn("label", F.col("class"))
@@ -173,15 +203,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
             marked = marked.join(mixed, "key")
         if turn < HUB_ROUNDS:
-            chance = F.xxhash64("class", F.lit(turn))
-            hubs = marked.groupBy("key").agg(F.min(F.struct(chance.alias("h"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))).alias("hub"))
-            pairs = marked.join(hubs, "key").select("class", "n", "label", "hub.b", "hub.n_b", "hub.label_b")
+            free = marked if used is None else marked.join(used, "class", "left_anti")
+            hub = F.struct("central", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+            hubs = staged(free.groupBy("key").agg(F.max(hub).alias("hub")).select("key", "hub.b", "hub.n_b", "hub.label_b"), "hubs")
+            now = hubs.select(F.col("b").alias("class")).distinct()
+            used = staged(now if used is None else used.union(now).distinct(), "used")
+            pairs = marked.join(hubs, "key").filter(f"label <> label_b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
+            pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
         else:
-            marked = staged(marked, "apart")
-            other = marked.select("key", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            pairs = marked.join(other, "key").filter("class < b")
-        pairs = pairs.filter(f"label <> label_b AND {close}")
-        pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).filter("a <> b").distinct()
+            # two classes alone in a bucket have met already
+            pairs = _prefix_pairs(marked.filter("members > 2").select("class", "n", "label").distinct(), sets, percent)
         new = staged(_confirmed(pairs, sets, percent), "links")
         if new.isEmpty():
             continue
