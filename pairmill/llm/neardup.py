@@ -123,8 +123,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different labels that may still be alike: their rarest shingles must meet.
 
-    Of n shingles a partner shares at least ``percent`` in a hundred, so it shares one of the n less that
-    many, plus one, that are rarest (one order for all). A shingle of one class alone meets nothing.
+    Sets of n and m shingles that are alike share at least k = percent (n + m) / (100 + percent) of them. In
+    one order for all, rarest first, the first that they share has k - 1 shared ones behind it, so it is
+    among the first n - k + 1 of one and m - k + 1 of the other. A shingle of one class alone meets nothing.
     """
     schema = "id bigint, gram bigint"
     kinds = arrow_schema(schema)
@@ -140,11 +141,13 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     ranked = grams.join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("all"))
     share = F.expr(f"size(all) - int(ceil({percent} * size(all) / 100.0)) + 1")
-    prefix = ranked.select(F.col("id").alias("class"), F.explode(F.slice("all", F.lit(1), share)).alias("x"))
-    prefix = prefix.filter("x.often > 1").select("class", "x.gram").join(apart, "class")
+    prefix = ranked.select(F.col("id").alias("class"), F.posexplode(F.slice("all", F.lit(1), share)).alias("at", "x"))
+    prefix = prefix.filter("x.often > 1").select("class", "at", "x.gram").join(apart, "class")
     prefix = staged(prefix, "prefix")
-    other = prefix.select("gram", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    other = prefix.select("gram", F.col("class").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
     close = f"class < b AND label <> label_b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+    shared = f"cast(ceil({percent} * (n + n_b) / {100.0 + percent}) AS INT)"
+    close += f" AND at <= n - {shared} AND at_b <= n_b - {shared}"
     return prefix.join(other, "gram").filter(close).select(F.col("class").alias("a"), "b").distinct()
 
 
