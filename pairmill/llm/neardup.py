@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmill.llm.textblock import SPACES, Block, Words, arrow_schema, combine, map_texts, mix
@@ -120,8 +120,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
-def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different labels that may still be alike: their rarest shingles must meet.
+def _rarest(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """class, n, gram, at: the places of the rarest shingles, of which two alike sets share one.
 
     Sets of n and m shingles that are alike share at least k = percent (n + m) / (100 + percent) of them. In
     one order for all, rarest first, the first that they share has k - 1 shared ones behind it, so it is
@@ -142,13 +142,29 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = grams.join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("all"))
     share = F.expr(f"size(all) - int(ceil({percent} * size(all) / 100.0)) + 1")
     prefix = ranked.select(F.col("id").alias("class"), F.posexplode(F.slice("all", F.lit(1), share)).alias("at", "x"))
-    prefix = prefix.filter("x.often > 1").select("class", "at", "x.gram").join(apart, "class")
-    prefix = staged(prefix, "prefix")
-    other = prefix.select("gram", F.col("class").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    close = f"class < b AND label <> label_b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+    return staged(prefix.filter("x.often > 1").select("class", "at", F.col("x.gram").alias("key")).join(apart, "class"), "rarest")
+
+
+def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with their component's label, in the buckets that hold more than one component."""
+    if labels is None:
+        return members.withColumn("label", F.col("class"))
+    found = labels.select(F.col("node").alias("class"), "label")
+    marked = members.join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    return marked.join(mixed, "key")
+
+
+def _as_partner() -> list[Column]:
+    return [F.col(c).alias(new) for c, new in (("class", "b"), ("n", "n_b"), ("at", "at_b"), ("label", "label_b"))]
+
+
+def _met(members: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of one bucket, different labels, and sizes and places that allow the likeness."""
     shared = f"cast(ceil({percent} * (n + n_b) / {100.0 + percent}) AS INT)"
-    close += f" AND at <= n - {shared} AND at_b <= n_b - {shared}"
-    return prefix.join(other, "gram").filter(close).select(F.col("class").alias("a"), "b").distinct()
+    close = f"label <> label_b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND at <= n - {shared} AND at_b <= n_b - {shared}"
+    found = members.join(partners, "key").filter(close)
+    return found.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,31 +212,34 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     members = staged(members.join(central, "class"), "central")
     sets = staged(_sets(df, doc_id, text, width, central.select(F.col("class").alias("id"))).dropDuplicates(["id", "grams"]), "sets")
 
-    labels, links, used = None, None, None
-    for turn in range(HUB_ROUNDS + 1):
-        if labels is None:
-            marked = members.withColumn("label", F.col("class"))
-        else:
-            found = labels.select(F.col("node").alias("class"), "label")
-            marked = members.join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
-            mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-            marked = marked.join(mixed, "key")
-        if turn < HUB_ROUNDS:
-            free = marked if used is None else marked.join(used, "class", "left_anti")
-            hub = F.struct("central", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            hubs = staged(free.groupBy("key").agg(F.max(hub).alias("hub")).select("key", "hub.b", "hub.n_b", "hub.label_b"), "hubs")
-            now = hubs.select(F.col("b").alias("class")).distinct()
-            used = staged(now if used is None else used.union(now).distinct(), "used")
-            pairs = marked.join(hubs, "key").filter(f"label <> label_b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
-            pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
-        else:
-            # two classes alone in a bucket have met already
-            pairs = _prefix_pairs(marked.filter("members > 2").select("class", "n", "label").distinct(), sets, percent)
+    links, labels = None, None
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, labels
         new = staged(_confirmed(pairs, sets, percent), "links")
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        labels = components(links)
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            labels = components(links)
+
+    used = None
+    members = members.withColumn("at", F.lit(0))
+    for _ in range(HUB_ROUNDS):
+        marked = _mixed(members, labels)
+        free = marked if used is None else marked.join(used, "class", "left_anti")
+        best = free.groupBy("key").agg(F.max(F.struct("central", *_as_partner())).alias("hub"))
+        hubs = staged(best.select("key", "hub.b", "hub.n_b", "hub.at_b", "hub.label_b"), "hubs")
+        now = hubs.select(F.col("b").alias("class")).distinct()
+        used = staged(now if used is None else used.union(now).distinct(), "used")
+        link(_met(marked, hubs, percent))
+    # two classes alone in a bucket have met already
+    apart = _mixed(members, labels).filter("members > 2").select("class", "n").distinct()
+    members = _rarest(apart, sets, percent)
+    for turn in range(HUB_ROUNDS):
+        marked = _mixed(members, labels)
+        best = marked.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", "key", F.lit(turn)).alias("h"), *_as_partner())).alias("hub"))
+        link(_met(marked, best.select("key", "hub.b", "hub.n_b", "hub.at_b", "hub.label_b"), percent))
+    marked = staged(_mixed(members, labels), "apart")
+    link(_met(marked, marked.select("key", *_as_partner()), percent))
     found = classes.select("high", "low", "n_shingles", "class")
     if labels is not None:
         found = found.join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
