@@ -34,7 +34,9 @@ def token_fallback(response: Column, prompt: Column) -> Column:
 
 
 def epoch_replicate(df: DataFrame, epochs: int, out: str = "epoch") -> DataFrame:
-    """Every row once per epoch, numbered from 0; a narrow generator, not a join."""
+    """Every row once per epoch, numbered from 0; a narrow generator, not a join. 0 epochs: no rows."""
+    if epochs < 1:  # a sequence from 0 to -1 would count down
+        return df.withColumn(out, F.lit(0)).where(F.lit(False))
     return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 
 

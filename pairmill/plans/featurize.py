@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pairmill.functions.arrays import TOKEN_LIMIT, truncate
 from pairmill.operators.metrics import source_totals
 from pairmill.operators.normalize import drop_empty_pairs, normalize_pairs, pair_columns
-from pairmill.operators.numbering import CHUNK_SIZE, ROW_CAPS, chunk_assign, row_cap
+from pairmill.operators.numbering import CHUNK_SIZE, chunk_assign, row_cap
 from pairmill.operators.tokens import has_token, id_lookup, split_tokens
 from pairmill.operators.vectors import DIMENSION, concept_vector
-from pairmill.sources.shards import write_shards
+from pairmill.sources.shards import scan_shards, write_shards
 from pairmill.storage import staged
 
 SAMPLE_COLUMNS = (
@@ -58,7 +58,7 @@ def build_shards(
     vocab: DataFrame,
     path: str,
     chunk_size: int = CHUNK_SIZE,
-    rules=ROW_CAPS,
+    rules=None,
     dimension: int = DIMENSION,
     version: str = "v2",
     resume: bool = False,
@@ -66,12 +66,12 @@ def build_shards(
     """Write shards of every source in one job.
 
     Accepted samples are written once; the cap and the numbers then come from their keys alone,
-    so neither tokenizing nor scoring runs a second time. With ``resume`` the shards in ``path``
+    so neither tokenizing nor scoring runs a second time. Without ``rules`` no row is capped. With ``resume`` the shards in ``path``
     count towards cap and numbers and their rows are not read again.
     """
     done = already = None
     if resume:
-        shards = raw.sparkSession.read.parquet(path)
+        shards = scan_shards(raw.sparkSession, path)
         raw = resume_rows(raw, shards)
         already = source_totals(shards)
     accepted = staged(
@@ -82,6 +82,6 @@ def build_shards(
     if already is not None:
         thin = thin.join(already, ["domain", "source"], "left")
         done = F.coalesce("n_rows", F.lit(0))
-    capped = row_cap(thin, rules=rules, done=done).select(*keys)
-    numbered = chunk_assign(capped, chunk_size=chunk_size, already=already)
+    capped = thin if rules is None else row_cap(thin, rules=rules, done=done)
+    numbered = chunk_assign(capped.select(*keys), chunk_size=chunk_size, already=already)
     write_shards(accepted.join(numbered, keys).drop("dataset"), path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairmill.functions.text import shard_name
 
@@ -32,15 +33,23 @@ def write_shards(
     placed.sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """Domain and source stay text as written: a source named 007 must not come back as the number 7."""
+    found = spark.read.parquet(path).schema
+    names = ("domain", "source")
+    fixed = [T.StructField(f.name, T.StringType() if f.name in names else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(fixed)).parquet(path)
+
+
 def scan_shards(spark: SparkSession, path: str, phase: str | None = None) -> DataFrame:
     """All shards, or those of one phase; the phase prunes directories."""
-    df = spark.read.parquet(path)
+    df = _read(spark, path)
     return df if phase is None else df.where(F.col("domain") == phase)
 
 
 def scan_shards_named(spark: SparkSession, path: str, part: str) -> DataFrame:
     """Shards whose name contains ``part`` anywhere, as a substring test selects them."""
-    df = spark.read.parquet(path)
+    df = _read(spark, path)
     return df.where(name_of(df).contains(part))
 
 
