@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from pairmill.functions.arrays import TOKEN_LIMIT
 from pairmill.operators.normalize import NO_RESPONSE, OPENING_ROLES_V2
 from pairmill.operators.numbering import SPAN, number_rows, running_total
+from pairmill.operators.rows import DEFAULT_ROLE
 from pairmill.operators.tokens import split_tokens
 
 
 def label_turns(
     turns: DataFrame, key: str = "conv_id", order: str = "turn", span: int = SPAN
 ) -> DataFrame:
-    """Side and text of each turn as the pair will hold it; one row per turn, no group is built."""
+    """Side and text of each turn as the pair will hold it; one row per turn, no group is built.
+
+    A turn without a role is a ``turn``; one without a text is empty.
+    """
     made = number_rows(turns, [key], order, "_at", span)
-    role = F.lower("role")
+    role = F.coalesce(F.lower("role"), F.lit(DEFAULT_ROLE))
+    text = F.coalesce("text", F.lit(""))
     opens = (F.col("_at") == 0) | ((F.col("_at") == 1) & role.isin(*OPENING_ROLES_V2))
-    part = F.when(opens, F.concat(role, F.lit(": "), "text")).otherwise(
-        F.concat(F.lit("["), role, F.lit("]: "), "text")
+    part = F.when(opens, F.concat(role, F.lit(": "), text)).otherwise(
+        F.concat(F.lit("["), role, F.lit("]: "), text)
     )
     return made.select(
         key, order, F.when(opens, "prompt").otherwise("response").alias("side"), part.alias("part")

@@ -15,6 +15,7 @@ from pairmill.functions.arrays import (
     window_at,
     window_starts,
 )
+from pairmill.operators.keyed import join_small
 
 # Training phases in order, epochs per phase, batches per step, logging interval.
 PHASES = ("general_knowledge", "frontier_traces", "code_mechanics")
@@ -108,7 +109,7 @@ def optimizer_step(
     counter = F.col("_base") + F.col(index) + 1
     last = (F.col(index) == F.col("_size") - 1) & (F.col("_extra") == 1)
     return (
-        df.join(sizes, epoch)
+        join_small(df, sizes, [epoch])
         .withColumn("global_mb", counter)
         .withColumn("step", F.floor((F.col("global_mb") - 1) / every) + F.col("_extras"))
         .withColumn("closes_step", (F.col("global_mb") % every == 0) | last)

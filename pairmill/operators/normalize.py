@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pairmill.functions.text import let, split_break, split_mid
 from pairmill.operators.once import compute_once
 from pairmill.operators.rows import (
+    DEFAULT_ROLE,
     NESTED_KEYS,
     STRICT,
     JsonRow,
@@ -270,9 +271,12 @@ def fold_conversation_v2(turns: DataFrame, key: str = "conv_id", order: str = "t
 
     The result row holds the conversation's whole text, so this form is for conversations that
     fit a row. ``conversations.fold_to_tokens`` gives the same tokens for one of any length.
+    A turn without a role is a ``turn``; one without a text is empty.
     """
+    role = F.coalesce(F.lower("role"), F.lit(DEFAULT_ROLE))
+    text = F.coalesce("text", F.lit(""))
     listed = turns.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order), F.lower("role").alias("role"), "text"))).alias("_turns")
+        F.array_sort(F.collect_list(F.struct(F.col(order), role.alias("role"), text.alias("text")))).alias("_turns")
     )
     messages = F.transform(
         "_turns",

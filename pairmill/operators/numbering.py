@@ -5,6 +5,9 @@ Rows here carry a position that is unique within its source, so the range
 ``[k * span, (k + 1) * span)`` holds at most ``span`` rows. Counting rows per range, adding the
 counts up over the small table of ranges and ranking inside each range gives the same numbers,
 with no task ever larger than ``span`` rows and nothing that depends on partition order.
+
+NULL keys are a source like any other. Rows without a position come first in their source, in one
+range of their own and in no given order.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairmill.operators.keyed import join_small, key_of
+
 SPAN = 50_000
 CHUNK_SIZE = 1000
 
@@ -22,6 +27,11 @@ def _range(position: str, span: int) -> Column:
     return F.expr(f"`{position}` div {span}")
 
 
+def _ranged(df: DataFrame, keys: Sequence[str], position: str, span: int) -> DataFrame:
+    place = F.struct(key_of(*keys).alias("source"), _range(position, span).alias("range"))
+    return df.withColumn("_place", place)
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -35,20 +45,20 @@ def number_rows(
     With ``limit`` only numbers below it stay; ranges that lie beyond are gone before ranking.
     """
     keys = list(keys)
-    ranged = df.withColumn("_range", _range(position, span))
-    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = _ranged(df, keys, position, span)
+    counts = ranged.groupBy("_place").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_place.source").orderBy("_place.range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+        "_place", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(position)
-    made = ranged.join(offsets, [*keys, "_range"])
+    inside = Window.partitionBy("_place").orderBy(position)
+    made = ranged.join(offsets, "_place")
     if limit is not None:
         made = made.where(F.col("_before") < limit)
     made = made.withColumn(out, F.col("_before") + F.row_number().over(inside) - 1)
     if limit is not None:
         made = made.where(F.col(out) < limit)
-    return made.drop("_range", "_before")
+    return made.drop("_place", "_before")
 
 
 def running_total(
@@ -56,19 +66,19 @@ def running_total(
 ) -> DataFrame:
     """Add the sum of ``value`` over all rows before, by ``position`` within ``keys``."""
     keys = list(keys)
-    ranged = df.withColumn("_range", _range(position, span))
-    sums = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    ranged = _ranged(df, keys, position, span)
+    sums = ranged.groupBy("_place").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy("_place.source").orderBy("_place.range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_place", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     inside = (
-        Window.partitionBy(*keys, "_range")
+        Window.partitionBy("_place")
         .orderBy(position)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        ranged.join(sums, [*keys, "_range"])
+        ranged.join(sums, "_place")
         .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_range", "_before")
+        .drop("_place", "_before")
     )
 
 
@@ -77,16 +87,16 @@ def previous_value(
 ) -> DataFrame:
     """Add ``value`` of the row before, by ``position`` within ``keys``; NULL on the first."""
     keys = list(keys)
-    ranged = df.withColumn("_range", _range(position, span))
-    ends = ranged.groupBy(*keys, "_range").agg(F.max_by(value, position).alias("_end"))
-    earlier = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_range"))
-    ends = ends.select(*keys, "_range", earlier.alias("_earlier"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(position)
+    ranged = _ranged(df, keys, position, span)
+    ends = ranged.groupBy("_place").agg(F.max_by(value, position).alias("_end"))
+    earlier = F.lag("_end").over(Window.partitionBy("_place.source").orderBy("_place.range"))
+    ends = ends.select("_place", earlier.alias("_earlier"))
+    inside = Window.partitionBy("_place").orderBy(position)
     return (
-        ranged.join(ends, [*keys, "_range"])
+        ranged.join(ends, "_place")
         .withColumn("_rank", F.row_number().over(inside))
         .withColumn(out, F.when(F.col("_rank") == 1, F.col("_earlier")).otherwise(F.lag(value).over(inside)))
-        .drop("_range", "_earlier", "_rank")
+        .drop("_place", "_earlier", "_rank")
     )
 
 
@@ -106,11 +116,11 @@ def chunk_assign(
     """
     made = number_rows(df, keys, position, "_number", span)
     if already is not None:
-        made = made.join(already.select(*keys, F.col("n_rows").alias("_done")), list(keys), "left")
+        made = join_small(made, already.select(*keys, F.col("n_rows").alias("_done")), keys, "left")
         made = made.withColumn("_number", F.col("_number") + F.coalesce("_done", F.lit(0))).drop("_done")
     chunk = _range("_number", chunk_size)
     if first_chunk is not None:
-        made = made.join(first_chunk, list(keys), "left")
+        made = join_small(made, first_chunk, keys, "left")
         chunk = chunk + F.coalesce("next_chunk", F.lit(0))
     return made.withColumns(
         {

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairmill.operators.keyed import key_of
+
 # Fixed values of reward, advantage, surrogate and retry loop.
 LOOP_PENALTY = 0.01
 SIGMA_FLOOR = 1e-6
@@ -25,9 +27,10 @@ def reward(compiled: Column, avg_loops: Column, gamma: float = LOOP_PENALTY) ->
 
 
 def _relative(df: DataFrame, keys: Sequence[str], value: str, sigma: Column, out: str) -> DataFrame:
-    groups = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), sigma.alias("_sigma"))
-    joined = df.join(groups, list(keys))
-    return joined.withColumn(out, (F.col(value) - F.col("_mean")) / F.col("_sigma")).drop("_mean", "_sigma")
+    keyed = df.withColumn("_on", key_of(*keys))
+    groups = keyed.groupBy("_on").agg(F.avg(value).alias("_mean"), sigma.alias("_sigma"))
+    joined = keyed.join(groups, "_on")
+    return joined.withColumn(out, (F.col(value) - F.col("_mean")) / F.col("_sigma")).drop("_on", "_mean", "_sigma")
 
 
 def group_advantage(

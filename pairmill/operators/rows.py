@@ -63,10 +63,13 @@ def object_texts(text: Column) -> Column:
     """Values of a JSON object as texts, in row order; NULL unless ``text`` is one object.
 
     The reader stops after one value and does not see what follows it, so the text is read as
-    the only element of a list.
+    the only element of a list. A tail that closes the list would pass; texts with a closing
+    bracket are therefore read as the only member of an object too, which such a tail breaks.
     """
     listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{_TEXTS}>", STRICT)
-    return let(listed, lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))))
+    member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>", STRICT)
+    whole = F.when(F.contains(text, F.lit("]")), F.size(member) == 1).otherwise(True)
+    return let(listed, lambda a: F.when((F.size(a) == 1) & whole, F.get(a, F.lit(0))))
 
 
 def _kinds_of(text: Column) -> Column:
@@ -144,18 +147,30 @@ _NESTED_TYPE = T.StructType(
 )
 
 
+def _encodable(text):
+    return None if text is None else text.encode("utf-8", "replace").decode("utf-8")
+
+
 @F.pandas_udf(_NESTED_TYPE)
 def _nested_parts(raw: pd.Series, keys: pd.Series) -> pd.DataFrame:
-    """Values at any depth of a JSON text. Only rows no flat rule settles send text here."""
+    """Values at any depth of a JSON text. Only rows no flat rule settles send text here.
+
+    A text that only a laxer reader takes, or that is nested too deeply, has none and so no pair;
+    half a surrogate pair is a question mark, as Spark's own reader has it.
+    """
     out = []
     for text, wanted in zip(raw, keys):
         if text is None:
             out.append((None, None, None))
             continue
-        row = json.loads(text)
+        try:
+            row = json.loads(text)
+        except (ValueError, RecursionError):
+            out.append((None, None, None))
+            continue
         hit = next(filter(None, (_first_nested(row, k) for k in wanted.split(","))), None)
         listed = json.dumps(hit, ensure_ascii=False, separators=(",", ":")) if isinstance(hit, list) else None
-        out.append((hit is not None, listed, _longest_string(row)))
+        out.append((hit is not None, _encodable(listed), _encodable(_longest_string(row))))
     return pd.DataFrame(out, columns=["found", "list_text", "longest"])
 
 

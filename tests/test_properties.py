@@ -278,3 +278,31 @@ def test_running_total(docs):
     for span in (1, 13, 10_000):
         made = numbering.running_total(rows, ["source"], "row_pos", "n", "total", span)
         assert made.join(plain, ["source", "row_pos"]).where("total <> want").count() == 0
+
+
+def test_null_keys_and_positions_keep_their_rows(spark):
+    rows = [(None, "s", 0), ("d", None, 0), ("d", None, 7), ("d", "s", None), ("d", "s", 3), ("d", "s", 60_000)]
+    df = spark.createDataFrame(rows, "domain string, source string, row_pos bigint")
+    done = spark.createDataFrame([("d", None, 5)], "domain string, source string, n_rows bigint")
+    made = numbering.chunk_assign(df, chunk_size=10, already=done).collect()
+    got = {(r.domain, r.source, r.row_pos): (r.chunk_id, r.pos_in_chunk) for r in made}
+    assert got == {
+        (None, "s", 0): (0, 0), ("d", None, 0): (0, 5), ("d", None, 7): (0, 6),
+        ("d", "s", None): (0, 0), ("d", "s", 3): (0, 1), ("d", "s", 60_000): (0, 2),
+    }
+    total = numbering.running_total(df.na.fill(0, ["row_pos"]), ["domain", "source"], "row_pos", "row_pos", "t").collect()
+    assert sorted(r.t for r in total) == [0, 0, 0, 0, 0, 3]
+    earlier = numbering.previous_value(df, ["domain", "source"], "row_pos", "row_pos", "p").collect()
+    assert {r.row_pos: r.p for r in earlier if r.domain == "d" and r.source is None} == {0: None, 7: 0}
+    scored = rollouts.group_advantage(df.withColumn("x", F.col("row_pos").cast("double")), ["source"], "x").collect()
+    assert len(scored) == len(rows)
+
+
+def test_turns_without_role_or_text_stay(spark):
+    rows = [("a", 0, None, "lost?"), ("a", 1, "user", None), ("a", 2, None, "x"), ("a", 3, "agent", "yo"), ("b", 0, "user", None), ("b", 1, "agent", "z")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string")
+    listed = {r.conv_id: (r.prompt, r.response) for r in fold_conversation_v2(turns).collect()}
+    assert listed == {"a": ("turn: lost?\nuser: ", "[turn]: x\n[agent]: yo"), "b": ("user: ", "[agent]: z")}
+    folded = {r.conv_id: (r.prompt, r.response) for r in conversations.fold_to_tokens(turns).collect()}
+    sides = fold_conversation_v2(turns).select("conv_id", *[tokens.split_tokens(F.col(c)).alias(c) for c in ("prompt", "response")])
+    assert folded == {r.conv_id: (r.prompt, r.response) for r in sides.collect()}

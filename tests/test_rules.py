@@ -162,3 +162,17 @@ def test_fold_of_exploded_turns(spark):
     }
     v1 = {r.conv_id: (r.prompt, r.response) for r in norm.fold_conversation_v1(turns).collect()}
     assert v1 == {"a": ("system: s", "x")}
+
+
+def test_hostile_texts_neither_pass_nor_end_the_job(spark):
+    good = ['{"Q":"a","A":"b"}', ' {"Q":"a]","A":"b"} ', '{"Q":"a","A":"b","x":[1]}']
+    bad = ['{"Q":"a","A":"b"}] garbage', '{"Q":"a","A":"b"}]', '{"Q":"a","A":"b"}} x', '{"Q":"a","A":"b"}, "w":[1]']
+    odd = ['{"x":{"messages":"\\ud800"},"y":-INF}', '{"x":{"y":"' + "z" * 40 + '\\ud800"}}', '{"x":{"messages":[1]}}]']
+    rows = spark.createDataFrame([(t,) for t in good + bad + odd], "raw string")
+    for version in ("v2", "v1"):
+        made = norm.normalize_pairs(rows, version=version)
+        got = {r.raw: r.pair for r in made.collect()}
+        assert not any(got[t] and (got[t].prompt, got[t].response) == ("a", "b") for t in bad)
+        assert norm.quarantine(made).count() >= len(bad)
+        if version == "v2":
+            assert all((got[t].prompt.rstrip("]"), got[t].response) == ("a", "b") for t in good)
