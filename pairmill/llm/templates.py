@@ -2,7 +2,8 @@
 
 Every block element is hashed with all it holds. Spark counts in how many pages of a host each subtree
 stands; those in at least LEAST_PAGES pages and LEAST_SHARE of the host's pages are template and are
-deleted, together with elements that say by tag, role or class that they are no article. Where a page
+deleted, together with elements that say by tag, role or class that they are no article. No class or role
+says so of html, body, article, main or an element with more than half of the page's text. Where a page
 marks its article (article or main), only that is kept, and paragraphs and headings inside it are never
 template: an article may quote what others quote.
 
@@ -38,6 +39,8 @@ BLOCKS = PROSE | NO_ARTICLE | frozenset(
     "html body article main header section div ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption "
     "address details summary fieldset hr center".split()
 )
+#: Elements that no class word marks.
+NEVER_MARKED = frozenset("html body article main".split())
 ENDS_PARAGRAPH = BLOCKS - frozenset("html body".split())
 #: Words in class, id or role that mark what is no article.
 MARKS = frozenset(
@@ -56,13 +59,13 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "marked", "parts", "text", "digest", "label")
+    __slots__ = ("tag", "parent", "marked", "parts", "text", "size", "digest", "label")
 
     def __init__(self, tag: str, parent: Node | None, label: str):
         self.tag, self.parent, self.label = tag, parent, label
-        self.marked = tag in NO_ARTICLE or bool(MARKS.intersection(_WORD.findall(label)))
+        self.marked = tag in NO_ARTICLE or (tag not in NEVER_MARKED and bool(MARKS.intersection(_WORD.findall(label))))
         self.parts: list[Node | str] = []
-        self.text, self.digest = False, 0
+        self.text, self.size, self.digest = False, 0, 0  # size: characters outside NO_ARTICLE elements
 
 
 def parse(page: str) -> Node:
@@ -77,9 +80,11 @@ def parse(page: str) -> Node:
                 if words := _WHITE.sub(" ", entities.unescape(part)).strip():
                     content.append("t" + words)
                     node.text = True
+                    node.size += len(words)
             else:
                 content.append(f"e{part.digest}")
                 node.text |= part.text
+                node.size += 0 if part.tag in NO_ARTICLE else part.size
         node.digest = xxhash.xxh64_intdigest("\x00".join([node.tag, node.label, *content]).encode("utf-8", "surrogatepass")) - (1 << 63)
 
     def leave(names, stops) -> None:
@@ -134,9 +139,20 @@ def parse(page: str) -> Node:
         close(here)
         here = here.parent
     close(root)
+    _unmark_most(root)
     return root
 
 
+def _unmark_most(root: Node) -> None:
+    """No class word marks an element that holds more than half of the page's text."""
+    node: Node | None = root
+    while node is not None:
+        most = [p for p in node.parts if not isinstance(p, str) and p.tag not in NO_ARTICLE and 2 * p.size > root.size]
+        node = most[0] if most else None
+        if node is not None:
+            node.marked = False
+
+
 def _articles(root: Node) -> list[Node]:
     """Outermost article or main elements with text that are not marked otherwise."""
     found, stack = [], [root]

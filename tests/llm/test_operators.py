@@ -222,6 +222,19 @@ def test_templates(spark):
     assert found[10].text == "" and found[11].n_chars == 0 and len(found) == 9
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<html class="no-search"><body class="single has-sidebar"><p>Own text</p></body></html>',
+        '<body class="search-enabled"><main id="menu-open"><p>Own text</p></main>',
+        '<nav>much more words than the text has</nav><article class="post comments-open"><p>Own text</p></article>',
+        '<nav>much more words than the text has</nav><div class="with-sidebar"><div class="menu-open"><p>Own text</p></div><div class="sidebar">s</div></div>',
+    ],
+)
+def test_class_words_do_not_take_the_page(page):
+    assert templates.main_text(templates.parse(page), frozenset()) == "Own text"
+
+
 def test_words_of_a_block():
     words = Words(Block(["a B", "", "b a"]), SPACES)
     assert words.counts().tolist() == [2, 0, 2] and words.hashes[0] == words.hashes[3] and words.hashes[1] == words.hashes[2]
