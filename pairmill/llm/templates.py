@@ -1,14 +1,14 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-Every block element is hashed with all it holds. Spark counts in how many pages of a host each subtree
-stands; those in at least LEAST_PAGES pages and LEAST_SHARE of the host's pages are template and are
-deleted, together with elements that say by tag, role or class that they are no article. No class or role
+Every block element is hashed with all it holds. Spark counts in how many distinct pages of a host each
+subtree stands (pages with one tree are one page); those in at least LEAST_PAGES pages and either
+ENOUGH_PAGES or LEAST_SHARE of the host's distinct pages are template and are deleted, together with elements that say by tag, role or class that they are no article. No class or role
 says so of html, body, article, main or an element with more than half of the page's text. Where a page
 marks its article (article or main), only that is kept, and paragraphs and headings inside it are never
 template: an article may quote what others quote.
 
 Cases: null or empty html gives an empty text; a null url belongs to a host of its own name "";
-unclosed tags end where their parent or the page ends; a page that stands twice counts twice and gets
+unclosed tags end where their parent or the page ends; a page that stands twice counts once and gets
 two rows; further columns are not read.
 """
 
@@ -17,17 +17,22 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmill.llm.textblock import arrow_schema
-from pairmill.storage import staged
-
-LEAST_PAGES, LEAST_SHARE = 5, 0.01
-#: Template hashes of at most this many hosts are broadcast; more are joined by a shuffle.
-BROADCAST_HOSTS = 20_000
+from pairmill.storage import broadcast_if_bounded, staged
+
+#: Distinct pages of its host on which a template stands: at least LEAST_PAGES, and LEAST_SHARE of a host of
+#: up to ENOUGH_PAGES / LEAST_SHARE pages; ENOUGH_PAGES do on a larger one.
+LEAST_PAGES, LEAST_SHARE, ENOUGH_PAGES = 5, 0.01, 100
+#: At most this many template keys (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 4_000_000
+#: Rows of hot template keys are dealt over so many groups when they are joined.
+SALTS = 16
 PAGES_AT_ONCE = 256
 
 #: Element names of HTML by their role here.
@@ -56,6 +61,7 @@ _TAG = re.compile(
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
+_MASK = (1 << 64) - 1
 
 
 class Node:
@@ -238,53 +244,96 @@ def host_of(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def template_subtrees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, template: the digests of the subtrees that recur on the host. At most 1 / LEAST_SHARE times
-    the block elements of a page stand in a row, so a row is bounded whatever the host's size."""
-    schema = "host string, digest bigint"
+def _key(host: str, digest: int) -> int:
+    """A digest of one host; the same subtree of another host has another key."""
+    mixed = (digest & _MASK) ^ xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
+    return mixed - (1 << 64) if mixed >> 63 else mixed
+
+
+def _map_pages(df: DataFrame, schema: str, work) -> DataFrame:
+    """``work`` makes lists of columns from the lists of columns of PAGES_AT_ONCE rows."""
     kinds = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, PAGES_AT_ONCE):
-                part = batch.slice(a, PAGES_AT_ONCE)
-                hosts, digests = [], []
-                for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = subtrees(parse(page or ""))
-                    hosts += [host] * (len(found) + 1)
-                    digests += [*found, None]  # the page itself
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], schema=kinds)
-
-    rows = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, schema)
-    counts = rows.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).filter(f"digest IS NULL OR n >= {LEAST_PAGES}")
-    per_host = counts.groupBy("host").agg(
-        F.max(F.when(F.col("digest").isNull(), F.col("n"))).alias("pages"),
-        F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("digest", "n"))).alias("found"),
-    )
-    often = F.filter("found", lambda x: x.n >= F.col("pages") * LEAST_SHARE)
-    return per_host.select("host", F.transform(often, lambda x: x.digest).alias("template")).filter(F.size("template") > 0)
+                columns = work(batch.slice(a, PAGES_AT_ONCE).columns)
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
+
+    return df.mapInArrow(run, schema)
+
+
+def page_blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """host, page, keys: each distinct page of a host once, with the keys of its block elements."""
+
+    def work(columns):
+        hosts = columns[0].to_pylist()
+        roots = [parse(page or "") for page in columns[1].to_pylist()]
+        return [columns[0], [r.digest for r in roots], [[_key(h, d) for d in subtrees(r)] for h, r in zip(hosts, roots)]]
+
+    rows = pages.select(host_of(url).alias("host"), F.col(html).alias("html"))
+    return _map_pages(rows, "host string, page bigint, keys array<bigint>", work).dropDuplicates(["host", "page"])
+
+
+def template_keys(blocks: DataFrame) -> DataFrame:
+    """key: the subtrees that stand on enough distinct pages of their host. No row gathers those of a host."""
+    hosts = broadcast_if_bounded(blocks.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
+    counts = blocks.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.col("pages") * LEAST_SHARE, F.lit(float(ENOUGH_PAGES)))
+    return counts.filter(F.col("n") >= LEAST_PAGES).join(hosts, "host").filter(F.col("n") >= share).select("key")
+
+
+def _templates_of_pages(blocks: DataFrame, keys: DataFrame) -> DataFrame:
+    """host, page, template: the template keys among a page's own."""
+    salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
+    own = blocks.select("host", "page", F.explode("keys").alias("key"), F.pmod("page", F.lit(SALTS)).cast("int").alias("salt"))
+    return own.join(keys.withColumn("salt", salts), ["key", "salt"]).groupBy("host", "page").agg(F.collect_list("key").alias("template"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     kind = pages.select(page_id).schema[0].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string, n_chars bigint"
-    kinds = arrow_schema(schema)
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
+    blocks = staged(page_blocks(pages, url, html), "page-blocks")
+    keys = staged(template_keys(blocks), "templates")
 
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, PAGES_AT_ONCE):
-                part = batch.slice(a, PAGES_AT_ONCE)
-                texts = [
-                    main_text(parse(page or ""), set(template or ()))
-                    for page, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist())
-                ]
-                columns = [part.column(0), part.column(1), texts, [len(t) for t in texts]]
-                arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        sent = pages.sparkSession.sparkContext.broadcast(_sorted_keys(keys))
 
-    templates = staged(template_subtrees(pages, url, html), "templates")
-    if templates.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        templates = F.broadcast(templates)
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
-    return rows.join(templates, "host", "left").select("page_id", "url", "html", "template").mapInArrow(run, schema)
+        def known(columns):
+            hosts, roots = columns[3].to_pylist(), [parse(page or "") for page in columns[2].to_pylist()]
+            return _texts(columns, roots, [_among(sent.value, h, subtrees(r)) for h, r in zip(hosts, roots)])
+
+        return _map_pages(rows, schema, known)
+
+    def tree(columns):
+        return [*columns, [parse(page or "").digest for page in columns[2].to_pylist()]]
+
+    def joined(columns):
+        hosts, roots = columns[3].to_pylist(), [parse(page or "") for page in columns[2].to_pylist()]
+        return _texts(columns, roots, [{_key(h, k) for k in found or ()} for h, found in zip(hosts, columns[4].to_pylist())])
+
+    paged = _map_pages(rows, f"page_id {kind}, url string, html string, host string, page bigint", tree)
+    both = paged.join(_templates_of_pages(blocks, keys), ["host", "page"], "left")
+    return _map_pages(both.select("page_id", "url", "html", "host", "template"), schema, joined)
+
+
+def _sorted_keys(keys: DataFrame) -> bytes:
+    return np.sort(keys.toArrow().column(0).to_numpy()).astype("<i8").tobytes()
+
+
+def _among(sent: bytes, host: str, digests: set[int]) -> set[int]:
+    """The digests whose keys are sent."""
+    keys, own = np.frombuffer(sent, "<i8"), list(digests)
+    if not len(keys) or not own:
+        return set()
+    asked = np.array([_key(host, d) for d in own], "<i8")
+    place = np.minimum(keys.searchsorted(asked), len(keys) - 1)
+    return {d for d, there in zip(own, keys[place] == asked) if there}
+
+
+def _texts(columns, roots: list[Node], templates: list[set[int]]) -> list:
+    texts = [main_text(r, t) for r, t in zip(roots, templates)]
+    return [columns[0], columns[1], texts, [len(t) for t in texts]]

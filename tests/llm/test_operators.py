@@ -235,6 +235,24 @@ def test_class_words_do_not_take_the_page(page):
     assert templates.main_text(templates.parse(page), frozenset()) == "Own text"
 
 
+def test_templates_count_distinct_pages(spark, monkeypatch):
+    copy = "<body><div>Same <p>in all copies</div>{}</body>"
+    inside = "<body><article><div><p>Copied article</p></div></article></body>"
+    rows = [(k, "http://copies.com/", copy.format("")) for k in range(6)] + [(10 + k, "http://inside.com/", inside) for k in range(6)]
+    # a menu on 100 of 12,000 distinct pages, less than one in a hundred
+    rows += [(1000 + k, "http://large.com/", f"<body>{'<div>Section menu</div>' if k < 100 else ''}<div>Own {k}</div></body>") for k in range(12_000)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+
+    def check():
+        found = {r.page_id: r.text for r in templates.extract(df).collect()}
+        assert len(found) == len(rows) and found[0] == "Same\nin all copies" and found[10] == "Copied article"
+        assert found[1000] == "Own 0" and found[12_999] == "Own 11999"
+
+    check()
+    monkeypatch.setattr(templates, "BROADCAST_KEYS", 0)  # by joins
+    check()
+
+
 def test_words_of_a_block():
     words = Words(Block(["a B", "", "b a"]), SPACES)
     assert words.counts().tolist() == [2, 0, 2] and words.hashes[0] == words.hashes[3] and words.hashes[1] == words.hashes[2]
