@@ -4,8 +4,9 @@ Every block element is hashed with all it holds. Spark counts in how many distin
 subtree stands (pages with one tree are one page); those in at least LEAST_PAGES pages and either
 ENOUGH_PAGES or LEAST_SHARE of the host's distinct pages are template and are deleted, together with elements that say by tag, role or class that they are no article. No class or role
 says so of html, body, article, main or an element with more than half of the page's text. Where a page
-marks its article (article or main), only that is kept, and paragraphs and headings inside it are never
-template: an article may quote what others quote.
+marks its article (article or main), only that is kept. Blocks of prose inside it (paragraphs, headings,
+quotes, what holds them and what they hold) may be quotes, which stand on few pages: they are template from
+PROSE_SHARE of the host's distinct pages on.
 
 Cases: null or empty html gives an empty text; a null url belongs to a host of its own name "";
 unclosed tags end where their parent or the page ends; a page that stands twice counts once and gets
@@ -29,6 +30,8 @@ from pairmill.storage import broadcast_if_bounded, staged
 #: Distinct pages of its host on which a template stands: at least LEAST_PAGES, and LEAST_SHARE of a host of
 #: up to ENOUGH_PAGES / LEAST_SHARE pages; ENOUGH_PAGES do on a larger one.
 LEAST_PAGES, LEAST_SHARE, ENOUGH_PAGES = 5, 0.01, 100
+#: The share for prose inside articles, besides LEAST_PAGES.
+PROSE_SHARE = 0.25
 #: At most this many template keys (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
 #: Rows of hot template keys are dealt over so many groups when they are joined.
@@ -62,15 +65,18 @@ _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _WORD = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 _MASK = (1 << 64) - 1
+#: Flips a digest, or its key, to that of the same subtree as prose of an article.
+_AS_PROSE = 0x5DEECE66D1B54A33
 
 
 class Node:
-    __slots__ = ("tag", "parent", "marked", "parts", "text", "size", "digest", "label")
+    __slots__ = ("tag", "parent", "marked", "parts", "text", "size", "prose", "digest", "label")
 
     def __init__(self, tag: str, parent: Node | None, label: str):
         self.tag, self.parent, self.label = tag, parent, label
         self.marked = tag in NO_ARTICLE or (tag not in NEVER_MARKED and bool(MARKS.intersection(_WORD.findall(label))))
         self.parts: list[Node | str] = []
+        self.prose = tag in PROSE  # or holds some
         self.text, self.size, self.digest = False, 0, 0  # size: characters outside NO_ARTICLE elements
 
 
@@ -90,6 +96,7 @@ def parse(page: str) -> Node:
             else:
                 content.append(f"e{part.digest}")
                 node.text |= part.text
+                node.prose |= part.prose
                 node.size += 0 if part.tag in NO_ARTICLE else part.size
         node.digest = xxhash.xxh64_intdigest("\x00".join([node.tag, node.label, *content]).encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -173,22 +180,22 @@ def _articles(root: Node) -> list[Node]:
     return found
 
 
-def _eligible(node: Node, inside: bool) -> bool:
-    if not node.text or node.tag not in BLOCKS or node.tag in ("html", "body", "article", "main"):
-        return False
-    return not (inside and node.tag in PROSE)
+def _eligible(node: Node) -> bool:
+    return node.text and node.tag in BLOCKS and node.tag not in NEVER_MARKED
 
 
-def subtrees(root: Node) -> set[int]:
-    """Digests of all block elements that may be template."""
-    articles, out = _articles(root), set()
-    stack = [(root, False)]
+def subtrees(root: Node) -> dict[int, bool]:
+    """Digests of all block elements that may be template, and whether they are prose of an article (if they
+    are so in one place, and no prose in another, they count as prose)."""
+    articles, out = _articles(root), {}
+    stack = [(root, False, False)]
     while stack:
-        node, inside = stack.pop()
+        node, inside, quoted = stack.pop()
         inside = inside or any(node is a for a in articles)
-        if _eligible(node, inside):
-            out.add(node.digest)
-        stack += [(p, inside) for p in node.parts if not isinstance(p, str)]
+        quoted = inside and (quoted or node.tag in PROSE)
+        if _eligible(node):
+            out[node.digest] = out.get(node.digest, False) or quoted or (inside and node.prose)
+        stack += [(p, inside, quoted) for p in node.parts if not isinstance(p, str)]
     return out
 
 
@@ -213,7 +220,7 @@ def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
             if isinstance(node, str):
                 line.append(node)
                 continue
-            if node.marked or (_eligible(node, bool(articles)) and node.digest in template):
+            if node.marked or (_eligible(node) and node.digest in template):
                 flush()
                 continue
             if node.tag == "header" and not (articles and _holds_heading(node)):
@@ -277,17 +284,22 @@ def page_blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
 
 def template_keys(blocks: DataFrame) -> DataFrame:
-    """key: the subtrees that stand on enough distinct pages of their host. No row gathers those of a host."""
+    """key: the subtrees that stand on enough distinct pages of their host, and as prose those that stand on
+    enough for prose. No row gathers those of a host."""
     hosts = broadcast_if_bounded(blocks.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
     counts = blocks.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.col("pages") * LEAST_SHARE, F.lit(float(ENOUGH_PAGES)))
-    return counts.filter(F.col("n") >= LEAST_PAGES).join(hosts, "host").filter(F.col("n") >= share).select("key")
+    often = counts.filter(F.col("n") >= LEAST_PAGES).join(hosts, "host")
+    plain = F.when(F.col("n") >= share, F.col("key"))
+    prose = F.when(F.col("n") >= F.col("pages") * PROSE_SHARE, F.col("key").bitwiseXOR(F.lit(_AS_PROSE)))
+    return often.select(F.explode(F.array_compact(F.array(plain, prose))).alias("key"))
 
 
 def _templates_of_pages(blocks: DataFrame, keys: DataFrame) -> DataFrame:
-    """host, page, template: the template keys among a page's own."""
+    """host, page, template: the template keys among a page's own, plain and as prose."""
     salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
-    own = blocks.select("host", "page", F.explode("keys").alias("key"), F.pmod("page", F.lit(SALTS)).cast("int").alias("salt"))
+    both = F.concat("keys", F.transform("keys", lambda k: k.bitwiseXOR(F.lit(_AS_PROSE))))
+    own = blocks.select("host", "page", F.explode(both).alias("key"), F.pmod("page", F.lit(SALTS)).cast("int").alias("salt"))
     return own.join(keys.withColumn("salt", salts), ["key", "salt"]).groupBy("host", "page").agg(F.collect_list("key").alias("template"))
 
 
@@ -313,7 +325,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def joined(columns):
         hosts, roots = columns[3].to_pylist(), [parse(page or "") for page in columns[2].to_pylist()]
-        return _texts(columns, roots, [{_key(h, k) for k in found or ()} for h, found in zip(hosts, columns[4].to_pylist())])
+        return _texts(columns, roots, [_own(h, subtrees(r), set(found or ())) for h, r, found in zip(hosts, roots, columns[4].to_pylist())])
 
     paged = _map_pages(rows, f"page_id {kind}, url string, html string, host string, page bigint", tree)
     both = paged.join(_templates_of_pages(blocks, keys), ["host", "page"], "left")
@@ -324,12 +336,20 @@ def _sorted_keys(keys: DataFrame) -> bytes:
     return np.sort(keys.toArrow().column(0).to_numpy()).astype("<i8").tobytes()
 
 
-def _among(sent: bytes, host: str, digests: set[int]) -> set[int]:
-    """The digests whose keys are sent."""
-    keys, own = np.frombuffer(sent, "<i8"), list(digests)
-    if not len(keys) or not own:
+def _asked(host: str, own: dict[int, bool]) -> list[int]:
+    return [_key(host, d ^ _AS_PROSE if prose else d) for d, prose in own.items()]
+
+
+def _own(host: str, own: dict[int, bool], template: set[int]) -> set[int]:
+    """The digests whose keys, plain or as prose, are template."""
+    return {d for d, key in zip(own, _asked(host, own)) if key in template}
+
+
+def _among(sent: bytes, host: str, own: dict[int, bool]) -> set[int]:
+    """The same, with the template keys sent in order."""
+    keys, asked = np.frombuffer(sent, "<i8"), np.array(_asked(host, own), "<i8")
+    if not len(keys) or not len(asked):
         return set()
-    asked = np.array([_key(host, d) for d in own], "<i8")
     place = np.minimum(keys.searchsorted(asked), len(keys) - 1)
     return {d for d, there in zip(own, keys[place] == asked) if there}
 

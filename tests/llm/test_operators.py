@@ -253,6 +253,21 @@ def test_templates_count_distinct_pages(spark, monkeypatch):
     check()
 
 
+def test_templates_inside_articles(spark, monkeypatch):
+    quote, advert = "<p>Quoted by some", "<p>Read our letter</p><div><p>Advert</p></div>"
+    page = "<body><article><h1>Head {k}</h1>{quote}<div><p>Own {k}</div>{advert}</article></body>"
+    rows = [(k, "http://a.com/", page.format(k=k, quote=quote if k < 6 else "", advert=advert)) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+
+    def check():
+        for r in templates.extract(df).collect():
+            assert r.text == f"Head {r.page_id}\n" + ("Quoted by some\n" if r.page_id < 6 else "") + f"Own {r.page_id}"
+
+    check()
+    monkeypatch.setattr(templates, "BROADCAST_KEYS", 0)  # by joins
+    check()
+
+
 def test_words_of_a_block():
     words = Words(Block(["a B", "", "b a"]), SPACES)
     assert words.counts().tolist() == [2, 0, 2] and words.hashes[0] == words.hashes[3] and words.hashes[1] == words.hashes[2]
