@@ -3,10 +3,12 @@
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. The automaton holds notice phrases
 and the words of identifier tags; where a tag is found, the expression behind it in the raw text is
 parsed (AND before OR, WITH binds closest, brackets) and evaluated to the least obligation among the
-choices of OR, the greatest among the parts of AND, one level lower under an exception.
+choices of OR, the greatest among the parts of AND, one level lower under an exception. A name outside
+the tables is an operand of obligation UNKNOWN, the greatest. Expressions go on over line ends and the
+comment marks behind them.
 
-Cases: a null or empty text has no words, labels or places; an expression that does not parse gives
-no label of its own; repeated rows each get their row; further columns are not read.
+Cases: a null or empty text has no words, labels or places; an expression that breaks off or does not
+parse is listed with "? " before it, its names are labels and its obligation is UNKNOWN; repeated rows each get their row; further columns are not read.
 """
 
 from __future__ import annotations
@@ -46,13 +48,25 @@ IDENTIFIERS = {
     "epl-2.0": 2, "cddl-1.0": 2, "lgpl-2.1-only": 3, "lgpl-2.1-or-later": 3, "lgpl-3.0-only": 3, "lgpl-3.0-or-later": 3,
     "gpl-2.0-only": 4, "gpl-2.0-or-later": 4, "gpl-2.0": 4, "gpl-3.0-only": 4, "gpl-3.0-or-later": 4, "gpl-3.0": 4,
     "agpl-3.0-only": 5, "agpl-3.0-or-later": 5, "agpl-3.0": 5,
+    "gpl-1.0": 4, "gpl-1.0-only": 4, "gpl-1.0-or-later": 4, "lgpl-2.0": 3, "lgpl-2.0-only": 3, "lgpl-2.0-or-later": 3,
+    "lgpl-2.1": 3, "lgpl-3.0": 3, "agpl-1.0": 5, "agpl-1.0-only": 5, "agpl-1.0-or-later": 5, "sspl-1.0": 5, "eupl-1.1": 5,
+    "eupl-1.2": 5, "osl-3.0": 5, "mpl-1.1": 2, "epl-1.0": 2, "cddl-1.1": 2, "artistic-2.0": 2, "bsd-4-clause": 1, "apache-1.1": 1,
+    "cc-by-2.0": 1, "cc-by-2.5": 1, "cc-by-3.0": 1, "cc-by-sa-2.0": 4, "cc-by-sa-2.5": 4, "cc-by-sa-3.0": 4, "ncsa": 1,
+    "x11": 1, "postgresql": 1, "psf-2.0": 1, "ofl-1.1": 2, "wtfpl": 0, "blueoak-1.0.0": 1,
 }
+#: The obligation of what is not known, above all others.
+UNKNOWN = 6
 #: Exceptions that may follow WITH.
 EXCEPTIONS = ("classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "linux-syscall-note", "autoconf-exception-3.0")
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _TAG_IN_TEXT = re.compile(r"(?:spdx[^0-9A-Za-z]+)?license[^0-9A-Za-z]+(?:identifier|expression)[ \t]*[:=][ \t]*", re.I)
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_TOKEN = re.compile(r"[()]|DocumentRef-[A-Za-z0-9.-]+:[A-Za-z0-9][A-Za-z0-9.+-]*|[A-Za-z0-9][A-Za-z0-9.+-]*", re.I)
+_BLANK = re.compile(r"[ \t]*")
+#: A line end, and the mark of a comment that goes on.
+_WRAP = re.compile(r"[ \t]*\r?\n[ \t]*(?:(?:[*#;%!>]+|//+|--+|dnl\b)[ \t]*)?")
+#: What may stand before a further name in a list that is no expression.
+_LISTED = re.compile(r"[ \t]*[,;/|&]*[ \t]*")
 _BINDING = {"or": 1, "and": 2, "with": 3}
 _automata: list[ahocorasick.Automaton] = []
 
@@ -105,14 +119,19 @@ def shunt(tokens: list[str]) -> list[str] | None:
 
 
 def evaluate(polish: list[str]) -> tuple[int, frozenset[str]] | None:
-    """Obligation and identifiers of a parsed expression; None where a name is not known."""
+    """Obligation and identifiers of a parsed expression; None where an exception stands wrong."""
     stack: list[tuple[int, frozenset[str]] | str] = []
     for token in polish:
         if token == "with":
             exception, licence = stack.pop(), stack.pop()
-            if not isinstance(exception, str) or isinstance(licence, str):
+            if isinstance(licence, str):
+                return None
+            if isinstance(exception, str):
+                stack.append((licence[0] if licence[0] == UNKNOWN else max(licence[0] - 1, 0), licence[1]))
+            elif len(exception[1]) == 1 and not _known(*exception[1]):
+                stack.append((UNKNOWN, licence[1] | exception[1]))
+            else:
                 return None
-            stack.append((max(licence[0] - 1, 0), licence[1]))
         elif token in _BINDING:
             right, left = stack.pop(), stack.pop()
             if isinstance(left, str) or isinstance(right, str):
@@ -121,33 +140,69 @@ def evaluate(polish: list[str]) -> tuple[int, frozenset[str]] | None:
             stack.append((level, left[1] | right[1]))
         elif token in EXCEPTIONS:
             stack.append(token)
-        elif token.rstrip("+") in IDENTIFIERS:
-            stack.append((IDENTIFIERS[token.rstrip("+")], frozenset([token])))
         else:
-            return None
+            stack.append((IDENTIFIERS.get(token.rstrip("+"), UNKNOWN), frozenset([token])))
     return stack[0] if len(stack) == 1 and not isinstance(stack[0], str) else None
 
 
+def _known(word: str) -> bool:
+    return word.rstrip("+") in IDENTIFIERS or word in EXCEPTIONS
+
+
+def _goes_on(text: str, at: int, tokens: list[str], operand_next: bool) -> re.Match | None:
+    """The token after a line end, if the expression goes on there."""
+    wrap = _WRAP.match(text, at)
+    found = wrap and _TOKEN.match(text, wrap.end())
+    if not found:
+        return None
+    word = found.group().lower().rstrip(".")
+    if not tokens:  # nothing stands behind the tag: only what looks like a name
+        return found if word == "(" or _known(word) or (word not in _BINDING and re.search("[0-9-]", word)) else None
+    if operand_next or tokens.count("(") > tokens.count(")"):
+        return found
+    if word not in _BINDING:
+        return None
+    after = _TOKEN.match(text, _BLANK.match(text, found.end()).end())
+    sure = found.group().isupper() or (after and (after.group() == "(" or _known(after.group().lower().rstrip("."))))
+    return found if sure else None
+
+
 def expression_at(text: str, begin: int) -> tuple[str, int, frozenset[str]] | None:
-    """The longest expression that starts here and parses: its normal form, obligation and names."""
-    end = text.find("\n", begin)
+    """The whole expression that starts here: its normal form, obligation and names. It ends where no
+    operator follows an operand; None if there is no operand at all."""
     tokens: list[str] = []
-    for found in _TOKEN.finditer(text[begin:] if end < 0 else text[begin:end]):
-        token, word = found.group(), found.group().lower()
-        if word not in "()" and word not in _BINDING:
-            bare = word.rstrip(".")
-            if bare.rstrip("+") not in IDENTIFIERS and bare not in EXCEPTIONS:
+    at, depth, operand_next = begin, 0, True
+    while True:
+        found = _TOKEN.match(text, _BLANK.match(text, at).end()) or _goes_on(text, at, tokens, operand_next)
+        if not found:
+            break
+        word = found.group().lower()
+        if word == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif word == ")":
+            if operand_next or not depth:
                 break
-            token = bare
-        tokens.append(token)
-    while tokens:
-        polish = shunt(tokens)
-        value = evaluate(polish) if polish else None
-        if value:
-            form = " ".join(t.upper() if t.lower() in _BINDING else t for t in tokens)
-            return form.replace("( ", "(").replace(" )", ")"), value[0], value[1]
-        tokens.pop()
-    return None
+            depth -= 1
+        elif operand_next != (word not in _BINDING):
+            break
+        else:
+            operand_next = word in _BINDING
+        at = found.end()
+        tokens.append(word.rstrip("."))
+        if word.endswith("."):
+            break  # a sentence ends
+    names = frozenset(t for t in tokens if t not in "()" and t not in _BINDING and t not in EXCEPTIONS)
+    if not names:
+        return None
+    form = " ".join(t.upper() if t in _BINDING else t for t in tokens).replace("( ", "(").replace(" )", ")")
+    polish = shunt(tokens)
+    value = evaluate(polish) if polish else None
+    listed = _TOKEN.match(text, _LISTED.match(text, at).end())
+    if value is None or (listed and text[at - 1] != "." and _known(listed.group().lower().rstrip("."))):
+        return f"? {form}", UNKNOWN, names
+    return form, value[0], value[1]
 
 
 def scan(text: str) -> dict:

@@ -121,6 +121,38 @@ def test_licences(docs):
     assert licences.scan_licences(docs, ["doc_id"]).count() == len(TEXTS)
 
 
+@pytest.mark.parametrize(
+    "text, form, obligation",
+    [
+        ("MIT AND LGPL-3.0", "mit AND lgpl-3.0", 3),
+        ("MIT AND LicenseRef-Own", "mit AND licenseref-own", 6),
+        ("Own-1.0 OR MIT", "own-1.0 OR mit", 1),
+        ("Own-1.0", "own-1.0", 6),
+        ("Own-1.0 WITH LLVM-exception", "own-1.0 WITH llvm-exception", 6),
+        ("GPL-2.0 WITH Own-exception", "gpl-2.0 WITH own-exception", 6),
+        ("MIT AND DocumentRef-a:LicenseRef-b", "mit AND documentref-a:licenseref-b", 6),
+        ("(MIT OR\n * Apache-2.0)\n * AND GPL-2.0+\n * more", "(mit OR apache-2.0) AND gpl-2.0+", 4),
+        ("\n// MIT\n// and so on", "mit", 1),
+        ("MIT AND", "? mit AND", 6),
+        ("(MIT AND GPL-3.0", "? (mit AND gpl-3.0", 6),
+        ("MIT, AGPL-3.0", "? mit", 6),
+        ("MIT*/ int main", "mit", 1),
+        ("MIT. GPL-3.0 is another", "mit", 1),
+    ],
+)
+def test_whole_licence_expressions(text, form, obligation):
+    found = licences.scan(f"# SPDX-License-Identifier: {text}")
+    assert found["expressions"] == [form] and found["obligation"] == obligation
+    names = set(re.findall(r"[a-z0-9][a-z0-9.+:-]*", form)) - set(licences.EXCEPTIONS)
+    assert set(found["labels"].split(",")) == names
+
+
+def test_no_licence_expression():
+    for text in ("", "\n\nint", "\nint main", "AND MIT"):
+        found = licences.scan(f"SPDX-License-Identifier: {text}")
+        assert found["expressions"] == [] and found["obligation"] is None
+
+
 def test_lm_counts(spark, docs, empty):
     rows = interpolated_lm.score_texts(docs).collect()
     held = {r.doc_id for r in rows if r.held_out}
