@@ -4,7 +4,9 @@ Base spans are the leftmost non-overlapping matches of one pattern a kind; those
 test are dropped. They seed a graph of patterns (words before and after) and instances (values). A
 pattern's confidence for a kind is the smoothed share of its instances that are of the kind, an unseen
 instance's the chance that not all its patterns are wrong; both are worked out in turns. Values of
-confident patterns that look like identifiers become further spans of the pattern's kind.
+confident patterns that look like identifiers become further spans of the pattern's kind: tokens with
+digits, digit runs joined over blanks, brackets and dashes (not as e-mail, and with as many digits as the
+kind's seeds have), and names with a substitute for the at-sign (as e-mail only).
 
 Positions are code points, ends exclusive. The patterns are possessive and begin only where a run of
 their characters begins or the last match ended, so they find the same matches without retrying.
@@ -33,12 +35,24 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: A token with a digit, from its start.
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: Two to ten digit runs joined over blanks, brackets, dots and dashes.
+JOINED = r"(?<!\S)\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++){1,9}+(?![\x20().-]{0,3}[0-9])(?![\w@])"
+_OPEN, _CLOSE = r"\x20?+[(\[{<]\x20?+", r"\x20?+[)\]}>]\x20?+"
+#: An address whose at-sign, and perhaps dots, are spelled out.
+SPELLED = (
+    rf"(?<!\S){_LOCAL}++(?:{_OPEN}(?i:at){_CLOSE}|\x20(?i:at)\x20|[\uFF20\uFE6B]|&#64;)"
+    rf"[A-Za-z0-9-]++(?:(?:\.|{_OPEN}(?i:dot){_CLOSE}|\x20(?i:dot)\x20)[A-Za-z0-9-]++)++"
+)
 CONTEXT_CHARS = 64
 TURNS = 3
 #: A pattern counts from so many distinct seeds, so high a confidence; an instance from so high a one.
 LEAST_SEEDS, SURE_PATTERN, SURE_INSTANCE = 5, 0.8, 0.8
 #: Digits that an unseen value must have to look like an identifier.
 LEAST_DIGITS = 6
+#: Digits that joined runs must have: a number without its area code, and the longest card.
+JOINED_DIGITS = (7, 19)
+#: Digits of a country code, which an unseen phone number may lack.
+CODE_DIGITS = 3
 #: Rows of hot patterns are dealt over so many groups when scores are joined back.
 SALTS = 16
 
@@ -127,9 +141,12 @@ def _context(text: Column, s: Column) -> list[Column]:
 
 
 def _with_occurrences(df: DataFrame, text: str) -> DataFrame:
-    """``seen``: base spans and tokens with digits outside them, each with its context."""
-    df = df.withColumn("__tokens", _spans(F.col(text), TOKEN, None))
-    free = F.filter("__tokens", lambda c: (F.length(_digits(c["value"])) >= LEAST_DIGITS) & ~F.exists("base", lambda b: (b["begin"] < c["end"]) & (c["begin"] < b["end"])))
+    """``seen``: base spans and what may be an identifier outside them, each with its context."""
+    for name, pattern in (("__tokens", TOKEN), ("__joined", JOINED), ("__spelled", SPELLED)):
+        df = df.withColumn(name, _spans(F.col(text), pattern, None))
+    tokens = F.filter("__tokens", lambda c: F.length(_digits(c["value"])) >= LEAST_DIGITS)
+    joined = F.filter("__joined", lambda c: F.contains(c["value"], F.lit(" ")) & F.length(_digits(c["value"])).between(*JOINED_DIGITS))
+    free = F.filter(F.concat(tokens, joined, "__spelled"), lambda c: ~F.exists("base", lambda b: (b["begin"] < c["end"]) & (c["begin"] < b["end"])))
     rows = F.concat(
         F.transform("base", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"), s["kind"].alias("kind"), *_context(F.col(text), s))),
         F.transform(free, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["value"].alias("value"), F.lit(None).cast("string").alias("kind"), *_context(F.col(text), s))),
@@ -144,6 +161,16 @@ def _patterns(occurrences: DataFrame) -> DataFrame:
     return occurrences.filter("before <> ''").withColumn("pattern", F.explode(names))
 
 
+def _fits(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """The values whose shape goes with their kind; single tokens go with any."""
+    n = F.length(_digits(F.col("value")))
+    seeds = edges.filter("kind IS NOT NULL").groupBy("kind").agg(F.min(n).alias("least"), F.max(n).alias("most"))
+    least = F.col("least") - F.when(F.col("kind") == "phone", CODE_DIGITS).otherwise(0)
+    joined = F.col("value").rlike(rf"^(?:{JOINED})$") & F.contains("value", F.lit(" "))
+    right = F.when(F.col("value").rlike(rf"^(?:{SPELLED})$"), F.col("kind") == "email").when(joined, (F.col("kind") != "email") & n.between(least, F.col("most")))
+    return values.join(F.broadcast(seeds), "kind").filter(right.isNull() | right).drop("least", "most")
+
+
 def discover(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pattern, kind, confidence) that are sure, and (value, kind) that they reveal.
 
@@ -169,7 +196,7 @@ def discover(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
             again = reached.select("pattern", "value", "kind").join(found, ["value", "kind"])
             extra = again.groupBy("pattern", "kind").agg(F.sum("chance").alias("more"))
     one = F.max(F.struct("chance", "kind")).alias("top")
-    certain = found.filter((F.col("chance") >= SURE_INSTANCE) & (F.col("best") >= SURE_PATTERN)).groupBy("value").agg(one)
+    certain = _fits(edges, found.filter((F.col("chance") >= SURE_INSTANCE) & (F.col("best") >= SURE_PATTERN))).groupBy("value").agg(one)
     return sure.filter(F.col("confidence") >= SURE_PATTERN), certain.select("value", F.col("top.kind").alias("kind"))
 
 
@@ -180,7 +207,7 @@ def _listed(spans: Column) -> Column:
 def find_pii(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns with ``base`` and ``spans``: arrays of (begin, place, kind, end), sorted."""
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    rows = _with_occurrences(base_spans(rows, "__text"), "__text").drop("__text", "__tokens")
+    rows = _with_occurrences(base_spans(rows, "__text"), "__text").drop("__text", "__tokens", "__joined", "__spelled")
     rows = staged(rows.withColumn("__row", F.monotonically_increasing_id()), "pii-rows")
     occurrences = rows.select("__row", F.explode("seen").alias("s")).select("__row", "s.*")
     _, certain = discover(occurrences)

@@ -107,6 +107,19 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert clean == "to [EMAIL], or [IP]"
 
 
+def test_contexts_reveal_spaced_numbers_and_spelled_addresses(spark):
+    rows = [(k, f"please call +1 (555) 123-45{k} now") for k in range(10, 40)] + [(100 + k, f"please mail user{k}@mail.example.com today") for k in range(30)]
+    unseen = {
+        201: ("please call ", "017 555 7713", " now", "phone"), 202: ("please call ", "(017) 555-77 13", " now", "phone"),
+        203: ("please mail ", "jane(at)mail.example", " today", "email"), 204: ("please mail ", "jane [at] mail [dot] example", " today", "email"),
+        205: ("please call ", "joe(at)mail.example", " now", None), 206: ("other ", "017 555 7714", " end", None),
+    }
+    rows += [(k, "".join(v[:3])) for k, v in unseen.items()]
+    found = {r.k: r for r in pii.find_pii(spark.createDataFrame(rows, "k int, text string"), ["k"]).collect()}
+    for k, (before, value, _, kind) in unseen.items():
+        assert [(s.begin, s.end, s.kind) for s in found[k].spans] == ([(len(before), len(before) + len(value), kind)] if kind else [])
+
+
 def test_licences(docs):
     tag = "x SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0. End"
     found = licences.scan(tag)
