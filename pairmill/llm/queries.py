@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm import bpe, interpolated_lm, langid, licences, neardup, pii, templates, toxicity, weighted_sampling, winnowing
+from pairmill.llm import bpe, infill, interpolated_lm, langid, licences, neardup, pii, quality, runs, templates, toxicity
+from pairmill.llm import weighted_sampling, winnowing
+from pairmill.operators.once import compute_once
+from pairmill.storage import staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +82,84 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.crc_part("doc_id", 5) == 0)
+    keep = ["doc_id", "held_out"]
+    stats = staged(quality.take_statistics(docs, keep), "statistics")
+    model = quality.fit(stats, _table(spark, sf_dir, "labels").filter(langid.crc_part("doc_id", 5) != 0))
+    return quality.score(stats, model, keep)
+
+
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """One document in ten repeats its own words from some place on, as its id says; its text is rewritten."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    drawn = compute_once(docs.select("doc_id", "text"), {"g": F.floor(h / 10), "words": F.when(h % 10 == 0, words)})
+    n = F.size("words")
+    a = F.when(n > 0, F.col("g") % n)
+    drawn = compute_once(drawn, {"a": a, "p": F.lit(1) + F.floor((n - a) / (F.lit(3) + F.col("g") % 8))})
+    tail = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, get(words, cast(a + (i - a) % p as int)))), ' ')")
+    return drawn.select("doc_id", F.when(F.col("a").isNotNull(), tail).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_with_periodic_tails(_table(spark, sf_dir, "documents")), ["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("strongest.start").alias("start"),
+        F.col("strongest.length").alias("length"),
+        F.col("strongest.period").alias("period"),
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+FILL_IN_MIDDLE_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+  FROM documents
+), numbers AS (
+  SELECT doc_id, t, n,
+    CAST('0x' || substr(d, 1, 8) AS BIGINT) % (n + 1) AS c1,
+    CAST('0x' || substr(d, 9, 8) AS BIGINT) % (n + 1) AS c2,
+    CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 AS h3,
+    CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 AS h4
+  FROM drawn
+), formed AS (
+  SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+      WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parted AS (
+  SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM formed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parted
+"""
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_byte_bpe": byte_bpe,
@@ -90,5 +171,8 @@ QUERIES = {
     "op8_near_duplicates": near_duplicates,
     "op9_decontamination": decontamination,
     "op10_main_text": main_texts,
+    "op11_quality": quality_scores,
+    "op12_periodic_runs": periodic_runs,
+    "op13_fill_in_middle": fill_in_middle,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_fill_in_middle": FILL_IN_MIDDLE_SQL}

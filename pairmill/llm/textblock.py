@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -150,6 +151,40 @@ def map_texts(
     return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
+def slices(texts: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Index ranges of at most ``most`` bytes of text, or of one longer text, told without decoding any."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends = np.cumsum(sizes)
+    begin, done = 0, 0
+    while begin < len(ends):
+        end = max(int(np.searchsorted(ends, done + most, side="right")), begin + 1)
+        yield begin, end
+        begin, done = end, int(ends[end - 1])
+
+
+def map_blocks(
+    df: DataFrame,
+    keep: list[str],
+    text_col: str,
+    schema: str,
+    work: Callable[[pa.RecordBatch, list[str]], Iterable[dict]],
+    most: int = CHUNK_CHARS,
+) -> DataFrame:
+    """As ``map_texts``, but only one block of an Arrow batch is ever held as Python strings."""
+    wanted = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            for a, b in slices(column, most):
+                texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+                for columns in work(batch.slice(a, b - a), texts):
+                    arrays = [as_arrow(columns[f.name], f.type) for f in wanted]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
+
+    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)
