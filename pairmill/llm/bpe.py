@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import struct
 import sys
 import unicodedata
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmill.llm.textblock import Block, arrow_schema, kept_ddl, map_texts
+from pairmill.llm.textblock import Block, arrow_schema, kept_ddl, map_blocks
 
 #: A rank file larger than this is not sent to the tasks.
 MOST_RANK_BYTES = 64 << 20
-CACHED_PIECES = 1 << 20
-CACHED_PAIRS = 1 << 20
+#: Entries kept of each cache (some 200 bytes each) before the older half goes.
+CACHED_PIECES = 1 << 18
+CACHED_PAIRS = 1 << 17
 
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, SPACE, END = range(8)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_BLANK, AFTER_SPACE, LAST, TWO_LEFT, CONTRACTED = range(9)
@@ -49,6 +51,9 @@ NEW_NUMBERS = [
 #: What may follow an apostrophe in a contraction.
 SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 COLUMN = 256
+ENCODED = ("ids", "piece_starts", "piece_tokens")
+#: Texts of at most so many bytes are worked on at once; a longer one alone.
+BLOCK_BYTES = 1 << 19
 
 
 def _step(kind: int, state: int) -> int:
@@ -158,8 +163,9 @@ class PairRanks(dict):
         self.ranks, self.tokens = ranks, tokens
 
     def __missing__(self, pair: int) -> int:
-        if len(self) >= CACHED_PAIRS:
-            self.clear()
+        if len(self) >= CACHED_PAIRS:  # the younger half stays: a dict keeps the order of insertion
+            for old in list(itertools.islice(self, CACHED_PAIRS // 2)):
+                del self[old]
         rank = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], sys.maxsize)
         self[pair] = rank
         return rank
@@ -213,23 +219,26 @@ class Vocabulary:
         self.pairs = PairRanks(self.ranks, self.tokens)
         self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
         self.packed = struct.Struct("<I").pack
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode_piece(self, piece: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        content = piece.encode("utf-8")
-        known = self.ranks.get(content)
-        found = [known] if known is not None else merge([self.of_byte[b] for b in content], self.pairs)
-        ids = b"".join(map(self.packed, found))
-        if len(self.cache) >= CACHED_PIECES:
-            self.cache.clear()
+        """Little-endian 32-bit ids. A piece used again moves from the older half of the cache to the younger."""
+        ids = self.old.get(piece)
+        if ids is None:
+            content = piece.encode("utf-8")
+            known = self.ranks.get(content)
+            found = [known] if known is not None else merge([self.of_byte[b] for b in content], self.pairs)
+            ids = b"".join(map(self.packed, found))
         if len(piece) <= 64:
-            self.cache[piece] = ids
+            if len(self.young) >= CACHED_PIECES // 2:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
         return ids
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        have, make = self.cache.get, self.encode_piece
-        return [have(piece) or make(piece) for piece in pieces]
+        make = self.encode_piece
+        return [self.young.get(piece) or make(piece) for piece in pieces]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -272,14 +281,23 @@ def encode_texts(texts: list[str], vocabulary: Vocabulary) -> list[tuple[bytes,
     return out
 
 
-def encode(df: DataFrame, ranks, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns with ids, piece_starts and piece_tokens: little-endian 32-bit integers as BINARY."""
+def encode(df: DataFrame, ranks, keep: list[str], text: str = "text", columns: tuple[str, ...] = ENCODED) -> DataFrame:
+    """The kept columns with ids, piece_starts and piece_tokens: little-endian 32-bit integers as BINARY.
 
-    def work(part, texts):
-        rows = encode_texts(texts, _vocabulary(ranks))
-        yield {k: part.column(i) for i, k in enumerate(keep)} | dict(zip(("ids", "piece_starts", "piece_tokens"), zip(*rows)))
+    ``columns`` may leave some out, and may add ``decoded`` (the bytes that the ids stand for) and ``round_trip``
+    (whether they are the text): asked for here, they cost no second pass and no second worker.
+    """
 
-    return map_texts(df, keep, text, f"{kept_ddl(df, keep)}, ids binary, piece_starts binary, piece_tokens binary", work)
+    def work(part, texts):
+        vocabulary = _vocabulary(ranks)
+        made = dict(zip(ENCODED, zip(*encode_texts(texts, vocabulary))))
+        if "decoded" in columns or "round_trip" in columns:
+            made["decoded"] = [vocabulary.decode(x) for x in made["ids"]]
+            made["round_trip"] = [x == t.encode("utf-8") for x, t in zip(made["decoded"], texts)]
+        yield {k: part.column(i) for i, k in enumerate(keep)} | {k: made[k] for k in columns}
+
+    kinds = ", ".join(f"{k} {'boolean' if k == 'round_trip' else 'binary'}" for k in columns)
+    return map_blocks(df, keep, text, f"{kept_ddl(df, keep)}, {kinds}", work, BLOCK_BYTES)
 
 
 def decode(df: DataFrame, ranks, keep: list[str], ids: str = "ids", to: str = "decoded") -> DataFrame:

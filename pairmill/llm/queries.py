@@ -29,12 +29,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.send_ranks(spark, _rank_path())
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, ["doc_id"])
-    both = bpe.decode(encoded.withColumn("kept", F.col("ids")), ranks, ["doc_id", "kept"])
+    both = bpe.encode(_table(spark, sf_dir, "documents"), ranks, ["doc_id"], columns=("ids", "decoded"))
     return both.select(
         "doc_id",
-        F.expr("octet_length(kept) div 4").cast("bigint").alias("n_tokens"),
-        F.sha2("kept", 256).alias("ids_sha256"),
+        F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
