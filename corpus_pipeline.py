@@ -62,18 +62,10 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.send_ranks(spark, RANKS)
-    keep = ["doc_id", "lang", "source", "text"]
-    encoded = bpe.encode(docs, ranks, keep).withColumn("tokens", F.col("ids"))
-    decoded = bpe.decode(encoded, ranks, [*keep, "tokens", "piece_starts"], ids="ids")
-    return decoded.select(
-        "doc_id",
-        "lang",
-        "source",
-        F.expr("octet_length(tokens) div 4").cast("bigint").alias("n_tokens"),
-        F.col("tokens").alias("ids"),
-        "piece_starts",
-        (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("round_trip"),
-    )
+    keep = ["doc_id", "lang", "source"]
+    encoded = bpe.encode(docs, ranks, keep, columns=("ids", "piece_starts", "round_trip"))
+    n_tokens = F.expr("octet_length(ids) div 4").cast("bigint")
+    return encoded.select(*keep, n_tokens.alias("n_tokens"), "ids", "piece_starts", "round_trip")
 
 
 STAGES = [
