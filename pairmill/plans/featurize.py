@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmill.functions.arrays import TOKEN_LIMIT, truncate
+from pairmill.operators.keyed import join_small, key_of
 from pairmill.operators.metrics import source_totals
 from pairmill.operators.normalize import drop_empty_pairs, normalize_pairs, pair_columns
-from pairmill.operators.numbering import CHUNK_SIZE, chunk_assign, row_cap
+from pairmill.operators.numbering import CHUNK_SIZE, SPAN, chunk_assign, row_cap
 from pairmill.operators.tokens import has_token, id_lookup, split_tokens
 from pairmill.operators.vectors import DIMENSION, concept_vector
-from pairmill.sources.shards import scan_shards, write_shards
+from pairmill.sources.shards import commit_shards, has_shards, scan_shards
 from pairmill.storage import staged
 
 SAMPLE_COLUMNS = (
-    "domain", "source", "dataset", "row_pos", "rule",
+    "domain", "source", "dataset", "row_pos", "row_hash", "rule",
     "input_tokens", "response_tokens", "target_concept",
 )
 
@@ -47,10 +48,17 @@ def featurize_pairs(
     return made.select(*[c for c in SAMPLE_COLUMNS if c in made.columns])
 
 
+def _identity(df: DataFrame) -> Column:
+    """What a row is known by in another run: its place, or its content where it has none."""
+    content = F.when(F.col("row_pos").isNull(), F.col("row_hash"))
+    return key_of("domain", "source", "row_pos", content)
+
+
 def resume_rows(raw: DataFrame, shards: DataFrame) -> DataFrame:
-    """Rows no shard holds yet; the key is unique, so no source can make the join uneven."""
-    keys = ["domain", "source", "row_pos"]
-    return raw.join(shards.select(*keys), keys, "left_anti")
+    """Rows no shard holds yet. NULL keys are keys; the identity is fine-grained, so no source makes the join uneven."""
+    known = shards.select(_identity(shards).alias("_on")).distinct()
+    hashed = raw.withColumn("row_hash", F.xxhash64("raw"))
+    return hashed.withColumn("_on", _identity(hashed)).join(known, "_on", "left_anti").drop("_on", "row_hash")
 
 
 def build_shards(
@@ -62,26 +70,35 @@ def build_shards(
     dimension: int = DIMENSION,
     version: str = "v2",
     resume: bool = False,
+    span: int = SPAN,
 ) -> None:
     """Write shards of every source in one job.
 
-    Accepted samples are written once; the cap and the numbers then come from their keys alone,
-    so neither tokenizing nor scoring runs a second time. Without ``rules`` no row is capped. With ``resume`` the shards in ``path``
-    count towards cap and numbers and their rows are not read again.
+    Accepted samples are written once, each with a row number of its own in that table; the cap and the numbers
+    then come from their keys and that number alone, so neither tokenizing nor scoring runs a second time, and
+    neither a NULL key nor a missing, hashed or repeated position loses a row or makes a task large. Without
+    ``rules`` no row is capped. With ``resume`` the shards in ``path`` count towards cap and numbers and their
+    rows are not read again; without it a path that holds shards is refused.
     """
     done = already = None
-    if resume:
-        shards = scan_shards(raw.sparkSession, path)
+    spark = raw.sparkSession
+    if resume and has_shards(spark, path):
+        shards = scan_shards(spark, path)
         raw = resume_rows(raw, shards)
-        already = source_totals(shards)
-    accepted = staged(
-        featurize_pairs(accept_pairs(raw, version), vocab, dimension), "accepted-samples"
-    )
-    keys = ["domain", "source", "row_pos"]
-    thin = accepted.select(*keys, "dataset")
+        already = staged(source_totals(shards), "rows-before")
+    elif has_shards(spark, path):
+        raise FileExistsError(f"{path} holds shards; name another path or resume")
+    pairs = accept_pairs(raw.withColumn("row_hash", F.xxhash64("raw")), version)
+    samples = featurize_pairs(pairs, vocab, dimension)
+    accepted = staged(samples.withColumn("_row", F.monotonically_increasing_id()), "accepted-samples")
+    keys = ["domain", "source"]
+    thin = accepted.select(*keys, "row_pos", "_row", "dataset")
     if already is not None:
-        thin = thin.join(already, ["domain", "source"], "left")
-        done = F.coalesce("n_rows", F.lit(0))
-    capped = thin if rules is None else row_cap(thin, rules=rules, done=done)
-    numbered = chunk_assign(capped.select(*keys), chunk_size=chunk_size, already=already)
-    write_shards(accepted.join(numbered, keys).drop("dataset"), path)
+        thin = join_small(thin, already.select(*keys, F.col("n_rows").alias("_before_run")), keys, "left")
+        done = F.coalesce("_before_run", F.lit(0))
+    capped = row_cap(thin, rules=rules, done=done, span=span, tie="_row")
+    numbered = chunk_assign(
+        capped.select(*keys, "row_pos", "_row"), chunk_size=chunk_size, already=already, span=span, tie="_row"
+    )
+    numbered = numbered.select("_row", "chunk_id", "pos_in_chunk")
+    commit_shards(accepted.join(numbered, "_row").drop("dataset", "_row"), path)

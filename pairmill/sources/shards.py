@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 from pairmill.functions.text import shard_name
 
 CHUNKS_PER_FILE = 20
+RUNS, COMMITS = "runs", "commits"
+COMMIT_SCHEMA = "version bigint, run string"
 
 
 def write_shards(
@@ -33,8 +37,56 @@ def write_shards(
     placed.sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
 
 
+def _folder_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system that Spark reads with, whatever the scheme."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def committed_runs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the runs that were published, in their order; one small file each."""
+    if not _folder_exists(spark, f"{path}/{COMMITS}"):
+        return []
+    rows = spark.read.schema(COMMIT_SCHEMA).json(f"{path}/{COMMITS}").collect()
+    return [r.run for r in sorted(rows, key=lambda r: (r.version, r.run))]
+
+
+def has_shards(spark: SparkSession, path: str) -> bool:
+    return bool(committed_runs(spark, path))
+
+
+def commit_shards(df: DataFrame, path: str, run: str | None = None, **layout) -> str:
+    """Write numbered samples as one run of a shard table, and publish it by one small file.
+
+    Readers see published runs only, so a run that is killed leaves nothing to be seen. A run of the same
+    name that was not published is replaced; one that was is refused. Runs are folders of their own, and
+    the file that publishes one is moved to its place whole, so readers never see half of it.
+    """
+    spark = df.sparkSession
+    before = committed_runs(spark, path)
+    run = run or uuid.uuid4().hex
+    if run in before:
+        raise FileExistsError(f"run {run} of {path} is published")
+    write_shards(df, f"{path}/{RUNS}/{run}", mode="overwrite", **layout)
+    note = spark.createDataFrame([(len(before), run)], COMMIT_SCHEMA)
+    note.coalesce(1).write.mode("append").json(f"{path}/{COMMITS}")
+    return run
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    """Domain and source stay text as written: a source named 007 must not come back as the number 7."""
+    """Published runs, or a plain folder of shards. Domain and source stay text as written: a source named 007
+    must not come back as the number 7, and a NULL one comes back as NULL."""
+    runs = committed_runs(spark, path)
+    if not runs and _folder_exists(spark, f"{path}/{RUNS}"):
+        raise FileNotFoundError(f"{path} has no published run")
+    parts = [_read_folder(spark, f"{path}/{RUNS}/{run}") for run in runs] or [_read_folder(spark, path)]
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.unionByName(part, allowMissingColumns=True)
+    return made
+
+
+def _read_folder(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.parquet(path).schema
     names = ("domain", "source")
     fixed = [T.StructField(f.name, T.StringType() if f.name in names else f.dataType) for f in found]

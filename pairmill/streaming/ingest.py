@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
+from pairmill.operators.keyed import join_small
 from pairmill.operators.numbering import CHUNK_SIZE, SPAN, number_rows
 from pairmill.storage import staged
 
@@ -56,7 +57,7 @@ def shard_sink(
         accepted = staged(transform(rows), f"micro-batch-{batch_id}")
         before = _totals_before(spark, root, batch_id)
         numbered = number_rows(accepted, KEYS, position, "_number", span)
-        numbered = numbered.join(before, KEYS, "left").withColumn(
+        numbered = join_small(numbered, before, KEYS, "left").withColumn(
             "_number", F.col("_number") + F.coalesce("n_rows", F.lit(0))
         )
         numbered.withColumns(

@@ -52,6 +52,49 @@ def test_a_stopped_job_goes_on_to_the_same_shards(spark, raw, vocab):
     assert _numbers(shards.scan_shards(spark, whole)) == _numbers(shards.scan_shards(spark, parts))
 
 
+def test_no_row_is_lost_for_a_null_key_or_position(spark, vocab):
+    text = "A first half of some length here. And a second half of some length."
+    keys = [("d", "s", 1), (None, "s", 2), ("d", None, 3), ("d", "s", None), (None, None, None), ("d", "s", None), ("d", "s", 1)]
+    schema = "domain string, source string, dataset string, row_pos bigint, raw string"
+    rows = [(d, s, "x", p, f'{{"text": "{k % 5} {text}"}}') for k, (d, s, p) in enumerate(keys)]
+    raw = spark.createDataFrame(rows, schema)
+    path = work_path(spark, "t-null")
+    build_shards(raw, vocab, path, chunk_size=2, dimension=16, span=1)
+    made = shards.scan_shards(spark, path)
+    found = sorted((str(r.domain), str(r.source), str(r.row_pos)) for r in made.collect())
+    assert found == sorted(tuple(map(str, k)) for k in keys)
+    assert made.where("chunk_id IS NULL OR pos_in_chunk IS NULL").count() == 0
+    more = raw.union(spark.createDataFrame([("d", None, "x", None, f'{{"text": "new {text}"}}')], schema))
+    build_shards(more, vocab, path, chunk_size=2, dimension=16, span=1, resume=True)
+    made = shards.scan_shards(spark, path)
+    assert made.count() == len(keys) + 1
+    places = made.select("domain", "source", (F.col("chunk_id") * 2 + F.col("pos_in_chunk")).alias("n")).collect()
+    by_source = {}
+    for r in places:
+        by_source.setdefault((r.domain, r.source), []).append(r.n)
+    assert all(sorted(n) == list(range(len(n))) for n in by_source.values()) and len(by_source[("d", None)]) == 2
+
+
+def test_readers_see_published_runs_only(spark, raw, vocab):
+    path = work_path(spark, "t-commit")
+    numbered = raw.select("domain", "source", "row_pos", F.lit(0).alias("chunk_id"), F.col("row_pos").alias("pos_in_chunk"))
+    shards.write_shards(numbered, f"{path}/{shards.RUNS}/killed", mode="overwrite")  # as far as a killed run came
+    assert not shards.has_shards(spark, path)
+    with pytest.raises(FileNotFoundError):
+        shards.scan_shards(spark, path)
+    early = numbered.where("row_pos < 50")
+    assert shards.commit_shards(early, path, run="first") == "first"
+    assert shards.scan_shards(spark, path).count() == early.count()
+    shards.write_shards(numbered.where("row_pos >= 60"), f"{path}/{shards.RUNS}/second", mode="overwrite")
+    assert shards.scan_shards(spark, path).count() == early.count()
+    shards.commit_shards(numbered.where("row_pos >= 50"), path, run="second")  # the rerun replaces what was left
+    assert shards.scan_shards(spark, path).count() == numbered.count()
+    with pytest.raises(FileExistsError):
+        shards.commit_shards(early, path, run="first")
+    with pytest.raises(FileExistsError):
+        build_shards(raw, vocab, path)
+
+
 def test_cap_counts_accepted_rows_across_runs(spark, raw, vocab):
     path, caps = work_path(spark, "t-caps"), ((None, None, 2),)
     build_shards(raw.where("row_pos < 60"), vocab, path, chunk_size=3, rules=caps, dimension=16)

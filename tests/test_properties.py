@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -119,11 +121,32 @@ def test_results_do_not_depend_on_partitions(spark, docs, parts):
 
 
 def test_caps_take_the_first_rule_that_fits(spark):
-    rows = [("general_knowledge", "wdndev/webnovel-chinese"), ("code_mechanics", "wdndev/webnovel-chinese"),
-            ("frontier_traces", "nvidia/Nemotron-Pretraining-Code-v3"), ("frontier_traces", "x"), ("code_mechanics", "x")]
+    rules = (("web", None, 20), (None, "novels/zh", 5), ("traces", None, 3), (None, "code/v3", 7))
+    rows = [("web", "novels/zh"), ("code", "novels/zh"), ("traces", "code/v3"), ("code", "code/v3"), ("code", "x"), (None, None)]
     df = spark.createDataFrame(rows, "domain string, dataset string")
-    caps = [r.c for r in df.select(numbering.cap_for(F.col("domain"), F.col("dataset")).alias("c")).collect()]
-    assert caps == [20_000_000, 5_000_000, 20_000_000, 500_000, 1_000_000]
+    caps = [r.c for r in df.select(numbering.cap_for(F.col("domain"), F.col("dataset"), rules).alias("c")).collect()]
+    assert caps == [20, 5, 3, 7, None, None]
+    many = df.crossJoin(spark.range(9)).selectExpr("domain", "dataset", "dataset AS source", "id AS row_pos")
+    assert numbering.row_cap(many).count() == 54  # no rule, no cap
+    kept = {(r.domain, r.dataset): r["count"] for r in numbering.row_cap(many, rules=rules).groupBy("domain", "dataset").count().collect()}
+    assert kept == dict(zip(rows, [9, 5, 3, 7, 9, 9]))
+
+
+@pytest.mark.parametrize("span", [1, 7, 64, 10_000])
+def test_numbers_for_any_positions(spark, span):
+    draw = random.Random(span)
+    hashed = [(draw.choice(["a", "b", None]), draw.randint(-(1 << 63), (1 << 63) - 1)) for _ in range(300)]
+    near = [("c", (1 << 62) + k % 5) for k in range(200)]  # many ties, far from 0
+    edges = [("d", -(1 << 63)), ("d", (1 << 63) - 1), ("d", 0)] * 10
+    rows = hashed + near + edges + [("e", None)] * 150 + [("f", k) for k in range(100)] + [("f", None)] * 50
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "s string, p bigint, t bigint").repartition(5)
+    placed = numbering.split_places(df, ["s"], "p", "t", span)
+    assert placed.groupBy("_place").count().agg(F.max("count")).first()[0] <= span
+    made = numbering.number_rows(df, ["s"], "p", "n", span, tie="t").collect()
+    order = {}
+    for s, p, t in sorted(((*r, k) for k, r in enumerate(rows)), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        order.setdefault(s, []).append(t)
+    assert {(r.s, r.t): r.n for r in made} == {(s, t): n for s, own in order.items() for n, t in enumerate(own)}
 
 
 def test_rows_of_earlier_runs_count_towards_the_cap(spark):
