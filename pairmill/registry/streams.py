@@ -8,7 +8,7 @@ from pairmill.operators.normalize import drop_empty_pairs, normalize_pairs, pair
 from pairmill.registry.base import SQL_CUT_DOCS, query, table
 from pairmill.registry.corpus import document_rows
 from pairmill.storage import work_path
-from pairmill.streaming import ingest
+from pairmill.streaming import ingest, state
 
 CHUNK = 10
 SCHEMA = "domain string, source string, dataset string, row_pos bigint, raw string"
@@ -108,3 +108,51 @@ def stream_error_end(spark, sf_dir):
     return ingest.run_sources(
         spark, [("good", lambda: start(good)), ("broken", lambda: start(bad)), ("again", lambda: start(good))]
     )
+
+
+_RUNS = 3
+_STATE_CAPS = (("en", None, 25), (None, "src3", 2), ("de", None, 7))
+_STATE_NUMBERED = f"""WITH {_ACCEPTED}, keyed AS (SELECT nullif(lang, 'fr') AS domain,
+      CASE WHEN source <> 'src1' THEN source END AS source, source AS dataset, doc_id, sp, sr FROM accepted),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY domain, source ORDER BY doc_id) - 1 AS seq FROM keyed)
+    SELECT domain, source, doc_id AS row_pos, sp AS prompt, sr AS response, cast(seq // {CHUNK} AS INT) AS chunk_id,
+      cast(seq % {CHUNK} AS INT) AS pos_in_chunk FROM numbered"""
+
+
+def _state_runs(spark, sf_dir, rules=None):
+    """The documents in three runs under one checkpoint, a third of the ids each; some keys are NULL."""
+    path, root = work_path(spark, "arrivals"), work_path(spark, "state")
+    rows = document_rows(spark, sf_dir).withColumns(
+        {"domain": F.expr("nullif(domain, 'fr')"), "source": F.expr("if(source <> 'src1', source, null)")}
+    )
+    most = (rows.agg(F.max("row_pos")).first()[0] or 0) + 1
+
+    def accept(raw):
+        made = drop_empty_pairs(pair_columns(normalize_pairs(raw)))
+        return made.select("domain", "source", "dataset", "row_pos", "prompt", "response")
+
+    for run in range(_RUNS):
+        part = F.floor(F.col("row_pos") * _RUNS / most) == run
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+        stream = ingest.read_source_stream(spark, path, SCHEMA)
+        state.state_ingest(stream, root, accept, f"{root}/checkpoint", CHUNK, rules).awaitTermination()
+    schema = "domain string, source string, row_pos bigint, prompt string, response string, chunk_id int, pos_in_chunk int"
+    return state.state_samples(spark, root, schema).select(
+        "domain", "source", "row_pos", "prompt", "response", "chunk_id", "pos_in_chunk"
+    )
+
+
+@query("stream_state_numbering", _STATE_NUMBERED)
+def stream_state_numbering(spark, sf_dir):
+    """Numbers kept as state go on over three runs, and are those of the batch."""
+    return _state_runs(spark, sf_dir)
+
+
+@query(
+    "stream_state_caps",
+    f"""{_STATE_NUMBERED} WHERE seq < CASE WHEN domain = 'en' THEN 25 WHEN dataset = 'src3' THEN 2
+      WHEN domain = 'de' THEN 7 ELSE 1000000000 END""",
+)
+def stream_state_caps(spark, sf_dir):
+    """Caps count over runs: what earlier runs accepted is part of the state."""
+    return _state_runs(spark, sf_dir, _STATE_CAPS)
