@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from pairmill.functions.arrays import joined
 from pairmill.operators import tokens as tok
 from pairmill.operators.normalize import drop_empty_pairs
+from pairmill.operators.numbering import chunk_assign
 from pairmill.operators.vectors import concept_vector, hash_encoder, score_batches
-from pairmill.plans.featurize import accept_pairs, featurize_pairs
+from pairmill.plans.featurize import accept_pairs, build_shards, featurize_pairs
+from pairmill.plans.training_feed import decoder_feed, latent_feed
 from pairmill.registry.base import SQL_CUT_DOCS, SQL_TOKENS, documents, query, sql_tokens
+from pairmill.sources.shards import scan_shards
+from pairmill.storage import staged, work_path
 
 DIM = 64
 
@@ -165,6 +169,104 @@ def featurize(spark, sf_dir):
     return _sample_text(document_samples(spark, sf_dir))
 
 
+_HOLES = f"""{_SAMPLES.replace("WITH ", "WITH samples AS (WITH ", 1)}),
+    keyed AS (SELECT nullif(domain, 'fr') AS domain, CASE WHEN source <> 'src1' THEN source END AS source, row_pos AS id,
+      CASE WHEN row_pos % 10 <> 0 THEN row_pos END AS row_pos, input_tokens, response_tokens, target_concept FROM samples),
+    counted AS (SELECT *, row_number() OVER (PARTITION BY domain, source ORDER BY {{first}} row_pos NULLS FIRST) - 1 AS seq FROM keyed)
+    SELECT domain, source, row_pos, input_tokens, response_tokens, target_concept,
+      CASE WHEN row_pos IS NOT NULL THEN cast(seq // 10 AS INT) END AS chunk_id,
+      CASE WHEN row_pos IS NOT NULL THEN cast(seq % 10 AS INT) END AS pos_in_chunk FROM counted"""
+
+
+def _rows_with_holes(spark, sf_dir):
+    """The documents with some NULL domains, sources and positions."""
+    return document_rows(spark, sf_dir).withColumns(
+        {
+            "domain": F.expr("nullif(domain, 'fr')"),
+            "source": F.expr("if(source <> 'src1', source, null)"),
+            "row_pos": F.expr("if(row_pos % 10 <> 0, row_pos, null)"),
+        }
+    )
+
+
+def _shard_rows(spark, path):
+    """All samples; rows without a position come first in their source in no given order, so their places are left out."""
+    made = scan_shards(spark, path)
+    place = lambda c: F.when(F.col("row_pos").isNotNull(), F.col(c)).alias(c)
+    return made.select(
+        "domain", "source", "row_pos",
+        joined(F.col("input_tokens")).alias("input_tokens"),
+        joined(F.col("response_tokens")).alias("response_tokens"),
+        packed_vector(F.col("target_concept")).alias("target_concept"),
+        place("chunk_id"), place("pos_in_chunk"),
+    )
+
+
+@query("build_shards", _HOLES.replace("{first}", ""))
+def build_shards_query(spark, sf_dir):
+    path = work_path(spark, "built")
+    build_shards(_rows_with_holes(spark, sf_dir), doc_vocab(spark, sf_dir), path, chunk_size=10, dimension=DIM, span=100)
+    return _shard_rows(spark, path)
+
+
+@query("build_shards_resume", _HOLES.replace("{first}", "id % 2,"))
+def build_shards_resume(spark, sf_dir):
+    """Even ids first, then all rows again under ``resume``: only the odd ones are added, behind what is there."""
+    path, vocab = work_path(spark, "built"), doc_vocab(spark, sf_dir)
+    rows = _rows_with_holes(spark, sf_dir)
+    early = F.col("row_pos").isNull() | (F.col("row_pos") % 2 == 0)
+    build_shards(rows.where(early), vocab, path, chunk_size=10, dimension=DIM, span=100)
+    build_shards(rows, vocab, path, chunk_size=10, dimension=DIM, span=100, resume=True)
+    return _shard_rows(spark, path)
+
+
+_FEED = f"""{_SAMPLES.replace("WITH ", "WITH samples AS (WITH ", 1)}),
+    ids AS (SELECT domain, source, row_pos, cast(string_split(input_tokens, ',') AS INT[]) AS a,
+      cast(string_split(response_tokens, ',') AS INT[]) AS b,
+      row_number() OVER (PARTITION BY domain, source ORDER BY row_pos) - 1 AS seq FROM samples),
+    placed_ids AS (SELECT *, cast(seq // 10 AS INT) AS chunk_id, cast(seq % 10 AS INT) AS pos_in_chunk,
+      cast((seq % 10) // 4 AS INT) AS mini_batch FROM ids)"""
+_ZEROS = "list_transform(range({n}), lambda x: 0)"
+_SHIFTED = """array_to_string(CASE WHEN len({t}) > 1 THEN ({t})[:len({t}) - 1] ELSE {t} END, ',') AS decoder_input,
+      array_to_string(CASE WHEN len({t}) > 1 THEN ({t})[2:] ELSE {t} END, ',') AS decoder_target"""
+
+
+def _numbered_samples(spark, sf_dir):
+    return chunk_assign(staged(document_samples(spark, sf_dir), "samples"), chunk_size=10, span=100)
+
+
+def _feed_text(feed, *columns):
+    sides = [joined(F.col(c)).alias(c) for c in ("decoder_input", "decoder_target")]
+    return feed.select("domain", "source", "row_pos", "chunk_id", "pos_in_chunk", "mini_batch", "epoch", *columns, *sides)
+
+
+@query(
+    "latent_feed",
+    f"""{_FEED}, wide AS (SELECT *, max(len(a)) OVER w AS wa, max(len(b)) OVER w AS wb FROM placed_ids
+      WINDOW w AS (PARTITION BY domain, source, chunk_id, mini_batch)),
+    padded AS (SELECT * EXCLUDE (a, b), list_concat(a, {_ZEROS.format(n='wa - len(a)')}) AS a,
+      list_concat(b, {_ZEROS.format(n='wb - len(b)')}) AS b FROM wide),
+    cut AS (SELECT *, unnest(range(0, len(a), 64)) AS start FROM padded),
+    windows AS (SELECT *, a[start + 1:start + 64] AS wina, CASE WHEN len(b) > 1 THEN b[start + 1:start + 64] ELSE b END AS winb FROM cut)
+    SELECT domain, source, row_pos, chunk_id, pos_in_chunk, mini_batch, cast(unnest(range(2)) AS INT) AS epoch,
+      cast(start // 64 AS INT) AS window_id, array_to_string(wina, ',') AS input_tokens, {_SHIFTED.format(t='winb')} FROM windows""",
+)
+def latent_feed_query(spark, sf_dir):
+    """Real ids, padded by batches of four, cut into windows of 64, shifted, for two epochs."""
+    feed = latent_feed(_numbered_samples(spark, sf_dir), epochs=2, batch_size=4, width=64)
+    return _feed_text(feed, "window_id", joined(F.col("input_tokens")).alias("input_tokens"))
+
+
+@query(
+    "decoder_feed",
+    f"""{_FEED}, fixed AS (SELECT *, list_concat(b[:257], {_ZEROS.format(n='257 - least(len(b), 257)')}) AS f FROM placed_ids)
+    SELECT domain, source, row_pos, chunk_id, pos_in_chunk, mini_batch, cast(unnest(range(2)) AS INT) AS epoch,
+      {_SHIFTED.format(t='f')} FROM fixed""",
+)
+def decoder_feed_query(spark, sf_dir):
+    return _feed_text(decoder_feed(_numbered_samples(spark, sf_dir), epochs=2))
+
+
 @query(
     "project_sample",
     f"""WITH {SQL_CUT_DOCS}, p AS (SELECT lang AS domain, source, doc_id AS row_pos,

@@ -26,7 +26,7 @@ from pairmill.registry.base import (
     table,
     token_lengths,
 )
-from pairmill.sources import catalog, scans, shards, trace
+from pairmill.sources import catalog, reader, scans, shards, trace
 from pairmill.storage import staged, work_path
 
 CHUNK = 10
@@ -135,6 +135,61 @@ def scan_json_glob(spark, sf_dir):
     return scans.scan_json_glob(spark, path, "*.json.gz", docs.schema)
 
 
+_CATALOG_CONFIGS = [  # dataset, config_pos, path, name, split, data_files, data_dir
+    ("tables", 0, "parquet", "default", "test", None, None),
+    ("tables", 1, "parquet", "default", None, None, None),
+    ("lines", 0, "json", None, None, "**/*.json.gz", None),
+    ("lines", 1, "json", "plain", None, "*.json", "deep"),
+    ("prose", 0, "text", None, None, "*.txt", None),
+    ("mislabelled", 0, "json/deep", None, None, None, None),
+    ("missing", 0, "nowhere", None, None, None, None),
+]
+
+
+def written_catalog(spark, sf_dir):
+    """The documents as Parquet by split, gzip and plain JSON lines, and text, as a catalog names them."""
+    docs, root = table(spark, sf_dir, "documents"), work_path(spark, "catalog")
+    split = F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train")
+    lines = docs.select("doc_id", "text")
+    docs.withColumn("split", split).repartition(4).write.partitionBy("split").parquet(f"{root}/parquet")
+    lines.repartition(3).write.option("compression", "gzip").json(f"{root}/json/gz")
+    lines.where("doc_id % 5 = 0").repartition(2).write.json(f"{root}/json/deep")
+    docs.select(F.concat_ws(" ", "doc_id", "source").alias("value")).repartition(2).write.text(f"{root}/text")
+    return root
+
+
+def catalog_scan(spark, sf_dir):
+    domains = {"general": ["tables", "lines"], "other": ["prose", "mislabelled", "missing"]}
+    datasets = catalog.catalog_explode(catalog.catalog_of(spark, domains))
+    expanded = catalog.config_expand(datasets, spark.createDataFrame(_CATALOG_CONFIGS, catalog.CONFIG_SCHEMA))
+    return reader.scan_catalog(spark, written_catalog(spark, sf_dir), expanded)
+
+
+@query(
+    "scan_catalog",
+    """WITH found AS (
+      SELECT 'general' AS domain, 'tables_default_test' AS source, doc_id FROM documents WHERE doc_id % 3 = 0
+      UNION ALL SELECT 'general', 'tables_default_train', doc_id FROM documents WHERE doc_id % 3 <> 0
+      UNION ALL SELECT 'general', 'lines_default_train', doc_id FROM documents
+      UNION ALL SELECT 'general', 'lines_plain_train', doc_id FROM documents WHERE doc_id % 5 = 0
+      UNION ALL SELECT 'other', 'prose_default_train', doc_id FROM documents
+      UNION ALL SELECT 'other', 'mislabelled_default_train', doc_id FROM documents WHERE doc_id % 5 = 0)
+    SELECT domain, source, count(*) AS n_rows, cast(sum(doc_id) AS BIGINT) AS ids, 0 AS least_pos,
+      count(*) - 1 AS greatest_pos, count(*) AS distinct_pos FROM found GROUP BY ALL""",
+)
+def scan_catalog(spark, sf_dir):
+    """Every row of every config once, at dense places from 0."""
+    rows, _ = catalog_scan(spark, sf_dir)
+    doc_id = F.coalesce(F.get_json_object("raw", "$.doc_id"), F.regexp_extract("raw", r'"text":"(\d+) ', 1)).cast("bigint")
+    return rows.groupBy("domain", "source").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(doc_id).alias("ids"),
+        F.min("row_pos").cast("int").alias("least_pos"),
+        F.max("row_pos").alias("greatest_pos"),
+        F.count_distinct("row_pos").alias("distinct_pos"),
+    )
+
+
 @query("scan_text_fallback", "SELECT doc_id, text, lang FROM documents")
 def scan_text_fallback(spark, sf_dir):
     """JSON lines announced as Parquet: the reader falls back to lines, the row rules unpack them."""
@@ -184,6 +239,30 @@ def chunk_assign(spark, sf_dir):
     return chunked_docs(spark, sf_dir).drop("text")
 
 
+# positions that are hashes for a third of the rows, missing for another, and repeat in the last
+_ANY_POSITION = """CASE doc_id % 3 WHEN 0 THEN cast('0x' || substring(md5(cast(doc_id AS VARCHAR)), 1, 15) AS BIGINT)
+  WHEN 1 THEN doc_id // 40 END"""
+
+
+@query(
+    "number_any_positions",
+    f"""WITH d AS (SELECT nullif(lang, 'fr') AS domain, CASE WHEN source <> 'src1' THEN source END AS source, doc_id,
+      {_ANY_POSITION} AS row_pos FROM documents),
+    n AS (SELECT *, row_number() OVER (PARTITION BY domain, source ORDER BY row_pos NULLS FIRST, doc_id) - 1 AS seq FROM d)
+    SELECT domain, source, doc_id, row_pos, cast(seq // {CHUNK} AS INT) AS chunk_id, cast(seq % {CHUNK} AS INT) AS pos_in_chunk FROM n""",
+)
+def number_any_positions(spark, sf_dir):
+    """Chunks over hashed, repeated and missing positions; a place holds at most four rows here."""
+    hashed = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    rows = table(spark, sf_dir, "documents").select(
+        F.expr("nullif(lang, 'fr')").alias("domain"),
+        F.expr("if(source <> 'src1', source, null)").alias("source"),
+        "doc_id",
+        F.when(F.col("doc_id") % 3 == 0, hashed).when(F.col("doc_id") % 3 == 1, F.floor(F.col("doc_id") / 40)).alias("row_pos"),
+    )
+    return numbering.chunk_assign(rows, chunk_size=CHUNK, span=4, tie="doc_id")
+
+
 _CAP = """CASE WHEN lang = 'en' THEN 12 WHEN source = 'src3' THEN 2 WHEN lang = 'de' THEN 4 ELSE 5 END"""
 CAPS = (("en", None, 12), (None, "src3", 2), ("de", None, 4), (None, None, 5))
 

@@ -49,13 +49,24 @@ def scan_text(spark: SparkSession, root: str, glob: str = "*.json*") -> DataFram
     return reader.text(root).withColumnRenamed("value", "text")
 
 
+#: What readers say of files that are of another format than announced.
+WRONG_FORMAT = ("is not a Parquet file", "Malformed ORC file", "UNABLE_TO_INFER_SCHEMA")
+
+
+def is_wrong_format(error: Exception) -> bool:
+    """Whether a reader met files of another format. Storage and network errors are not that."""
+    return any(sign in str(error) for sign in WRONG_FORMAT)
+
+
 def scan_or_text(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """Structured read, or raw lines when the files are not what the catalog says they are."""
     try:
         df = spark.read.format(format).load(path)
         df.limit(1).count()
         return df
-    except Exception:  # any read error means: not that format
+    except Exception as error:
+        if not is_wrong_format(error):
+            raise
         return scan_text(spark, path)
 
 
