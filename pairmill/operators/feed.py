@@ -121,6 +121,15 @@ def trace_sample(df: DataFrame, counter: Column, every: int = LOG_EVERY) -> Data
     return df.where(counter % every == 0)
 
 
+def decoder_trace(
+    df: DataFrame, loss: str, keys: Sequence[str] = (), epoch: str = "epoch", chunk: str = "chunk_idx", batch: str = "mini_batch",
+    every: int = LOG_EVERY,
+) -> DataFrame:
+    """Each tenth batch of every chunk, counted from its first; logged numbers begin at 1."""
+    kept = df.where(F.col(batch) % every == 0)
+    return kept.select(*keys, *[(F.col(c) + 1).alias(c) for c in (epoch, chunk, batch)], F.col(loss).alias("cross_entropy_loss"))
+
+
 def phase_rank(domain: Column, phases: Sequence[str] = PHASES) -> Column:
     ranked = [F.when(domain == phase, F.lit(i)) for i, phase in enumerate(phases)]
     return F.coalesce(*ranked)

@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairmill.operators.keyed import join_small, key_of
+from pairmill.storage import staged
+
 BLOCK_ROWS = 1024
 MERGE_WIDTH = 64
 NORM_EPS = 1e-12
@@ -156,75 +159,90 @@ def sum_arrays(df: DataFrame, keys: list[str], part: str, values: str) -> DataFr
     return second.select(*keys, total("_l").alias(values))
 
 
-def _partition_sums(batch: str, vector: str, gram: bool):
-    """Per task and run of equal batch values: the vector sum, or the rows of X'X of centred X."""
+def _merge(one, other):
+    """(n, mean, Gram of the centred rows) of two sets of rows together."""
+    if one is None:
+        return other
+    (n, mean, gram), (m, their_mean, their_gram) = one, other
+    step = their_mean - mean
+    return n + m, mean + step * (m / (n + m)), gram + their_gram + np.outer(step, step) * (n * m / (n + m))
+
+
+def _partial_moments(batch: str, vector: str):
+    """Per task and run of equal batch values: n and mean (``_i`` -1), and the rows of the Gram matrix."""
 
-    def flush(key, part, acc):
-        if gram:
-            frame = pd.DataFrame({"_i": np.arange(len(acc)), "_row": list(acc)})
-        else:
-            frame = pd.DataFrame({"_i": [0], "_row": [acc]})
-        return frame.assign(**{batch: key, "_part": part})[[batch, "_part", "_i", "_row"]]
+    def flush(key, part, moments):
+        n, mean, gram = moments
+        made = pd.DataFrame({"_i": np.arange(-1, len(gram)), "_row": [mean, *gram]})
+        return made.assign(**{batch: key, "_part": part, "_n": n})[[batch, "_part", "_n", "_i", "_row"]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, part, acc = None, None, None
+        key, part, moments = None, None, None
         for frame in frames:
-            for value, group in frame.groupby(batch, sort=False):
+            for value, group in frame.groupby(batch, sort=False, dropna=False):
                 matrix = np.stack(group[vector].to_list()).astype(np.float64)
-                if gram:
-                    matrix = matrix - np.stack(group["_mean"].to_list())
-                    made = matrix.T @ matrix
-                else:
-                    made = matrix.sum(axis=0)
-                if acc is not None and value == key:
-                    acc += made
-                else:
-                    if acc is not None:
-                        yield flush(key, part, acc)
-                    key, part, acc = value, int(group["_part"].iloc[0]), made
-        if acc is not None:
-            yield flush(key, part, acc)
+                mean = matrix.mean(axis=0)
+                own = (len(matrix), mean, (matrix - mean).T @ (matrix - mean))
+                value = None if pd.isna(value) else value
+                if moments is not None and value != key:
+                    yield flush(key, part, moments)
+                    moments = None
+                key, moments, part = value, _merge(moments, own), int(group["_part"].iloc[0])
+        if moments is not None:
+            yield flush(key, part, moments)
+
+    return run
+
+
+def _between(batch: str):
+    """Gram rows of the tasks' means about the mean of all, each counted as often as it has rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for value, group in frame.groupby(batch, sort=False, dropna=False):
+                steps = np.stack(group["_row"].to_list()) - np.stack(group["_mean"].to_list())
+                gram = (steps * group["_n"].to_numpy()[:, None]).T @ steps
+                made = pd.DataFrame({"_i": np.arange(len(gram)), "_row": list(gram)})
+                made[batch] = [None if pd.isna(value) else value] * len(gram)
+                yield made.assign(_part=-1 - int(group["_part"].iloc[0]))[[batch, "_part", "_i", "_row"]]
 
     return run
 
 
 def _large_spectral(df: DataFrame, batch: str, vector: str) -> DataFrame:
-    """Covariance of batches too large to pack: partial sums per task, merged by dimension."""
+    """Covariance of batches too large to pack, in one scan of the vectors.
+
+    Each task gives the count, mean and centred Gram matrix of its rows. Together they are the sum of these
+    matrices and of the tasks' means about the mean of all, which is reckoned from the small table of means.
+    """
     kind = df.schema[batch].dataType.simpleString()
-    schema = f"{batch} {kind}, _part int, _i int, _row array<double>"
-    rows = df.select(
-        batch, "_n", F.col(vector).cast("array<double>").alias(vector), F.spark_partition_id().alias("_part")
-    )
-    sums = rows.drop("_n").sortWithinPartitions(batch).mapInPandas(_partition_sums(batch, vector, False), schema)
-    sizes = df.groupBy(batch).agg(F.first("_n").alias("_n"))
-    means = (
-        sum_arrays(sums, [batch], "_part", "_row")
-        .join(sizes, batch)
-        .select(batch, F.transform("_row", lambda x: x / F.col("_n")).alias("_mean"))
-    )
-    centred = (
-        rows.join(means, batch)
-        .select(batch, vector, "_mean", F.spark_partition_id().alias("_part"))
-        .sortWithinPartitions(batch)
-    )
-    grams = centred.mapInPandas(_partition_sums(batch, vector, True), schema)
-    merged = sum_arrays(grams, [batch, "_i"], "_part", "_row").join(sizes, batch)
+    schema = f"`{batch}` {kind}, _part int, _n bigint, _i int, _row array<double>"
+    rows = df.select(batch, F.col(vector).cast("array<double>").alias(vector), F.spark_partition_id().alias("_part"))
+    made = rows.sortWithinPartitions(batch).mapInPandas(_partial_moments(batch, vector), schema)
+    moments = staged(made, "moments")
+    means = moments.where("_i = -1").select(batch, "_part", "_n", "_row")
+    keyed = means.withColumn("_on", key_of(batch))
+    sizes = keyed.groupBy("_on").agg(F.sum("_n").alias("_total"))
+    weighted = keyed.withColumn("_row", F.expr("transform(_row, x -> x * _n)"))
+    grand = sum_arrays(weighted, ["_on"], "_part", "_row").join(sizes, "_on")
+    grand = grand.select("_on", "_total", F.expr("transform(_row, x -> x / _total)").alias("_mean"))
+    apart = keyed.join(grand.select("_on", "_mean"), "_on").select(batch, "_part", "_n", "_row", "_mean")
+    between = apart.mapInPandas(_between(batch), f"`{batch}` {kind}, _part int, _i int, _row array<double>")
+    grams = moments.where("_i >= 0").select(batch, "_part", "_i", "_row").unionByName(between)
+    merged = sum_arrays(grams.withColumn("_on", key_of(batch)), ["_on", "_i"], "_part", "_row").join(sizes, "_on")
     squares = F.aggregate("_row", F.lit(0.0), lambda acc, x: acc + x * x)
     diagonal = F.pow(F.get("_row", F.col("_i")), 2)
     width = F.max(F.size("_row"))
-    return merged.groupBy(batch).agg(
-        (F.sum(squares - diagonal) / F.pow(F.first("_n") - 1, 2) / (width * (width - 1))).alias(
-            "spectral_loss"
-        )
-    )
+    loss = F.sum(squares - diagonal) / F.pow(F.first("_total") - 1, 2) / (width * (width - 1))
+    return merged.groupBy("_on").agg(loss.alias("spectral_loss")).select(F.col("_on.k0").alias(batch), "spectral_loss")
 
 
 def spectral_loss(
     df: DataFrame, batch: str, vector: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Mean squared off-diagonal entry of each batch's covariance matrix; 0 for a batch of one."""
+    """Mean squared off-diagonal entry of each batch's covariance matrix; 0 for a batch of one. NULL is a batch."""
     sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
-    sized = df.select(batch, vector).join(sizes, batch)
+    sized = join_small(df.select(batch, vector), sizes, [batch])
     packed = (
         sized.where(F.col("_n") <= block_rows)
         .groupBy(batch)

@@ -7,10 +7,13 @@ pull the whole group into one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairmill.operators.keyed import key_of
 
@@ -20,6 +23,8 @@ SIGMA_FLOOR = 1e-6
 CLIP = 0.2
 MAX_ATTEMPTS = 3
 VARIANCE_EPS = 1e-6
+#: Texts sent to a checker at once.
+CHECK_ROWS = 64
 
 
 def reward(compiled: Column, avg_loops: Column, gamma: float = LOOP_PENALTY) -> Column:
@@ -78,19 +83,67 @@ def attempt_resolution(
     ok: str = "ok",
     code: str = "code",
     max_attempts: int = MAX_ATTEMPTS,
+    error: str | None = None,
 ) -> DataFrame:
-    """First success of at most three attempts; without one, the last attempt is the result."""
+    """First success of at most three attempts; without one, the last attempt is the result.
+
+    ``error`` names a column that is true where the check itself broke: such an attempt is the last one.
+    """
     tried = df.where(F.col(attempt) <= max_attempts)
+    stops = F.col(ok) if error is None else F.col(ok) | F.coalesce(F.col(error), F.lit(False))
+    place = F.when(stops, F.col(attempt))
     resolved = tried.groupBy(*keys).agg(
-        F.min(F.when(F.col(ok), F.col(attempt))).alias("_solved"),
+        F.min(place).alias("_stop"),
         F.max(attempt).alias("_last"),
-        F.min_by(F.when(F.col(ok), F.col(code)), F.when(F.col(ok), F.col(attempt))).alias("_good"),
+        F.min_by(F.struct(F.col(ok).alias("ok"), F.col(code).alias("code")), place).alias("_at_stop"),
         F.max_by(code, attempt).alias("_final"),
     )
-    solved = F.col("_solved").isNotNull()
+    stopped = F.col("_stop").isNotNull()
     return resolved.select(
         *keys,
-        solved.alias("solved"),
-        F.coalesce("_solved", "_last").alias("attempts"),
-        F.when(solved, F.col("_good")).otherwise(F.col("_final")).alias("code"),
+        (stopped & F.coalesce(F.col("_at_stop.ok"), F.lit(False))).alias("solved"),
+        F.coalesce("_stop", "_last").alias("attempts"),
+        F.when(stopped, F.col("_at_stop.code")).otherwise(F.col("_final")).alias("code"),
     )
+
+
+def check_candidates(
+    df: DataFrame, checker: Callable[[list[str]], Sequence[bool]], code: str = "code", batch_rows: int = CHECK_ROWS
+) -> DataFrame:
+    """Add the verdict of a caller's checker as ``ok``, and ``error`` where it gave none.
+
+    ``checker`` gets texts and returns as many verdicts. If it raises, its texts are checked one by one, and
+    only the one that it fails on is without a verdict; the job goes on. A NULL text is not sent and not ok.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())])
+    kinds = to_arrow_schema(schema)
+    place = df.columns.index(code)
+
+    def verdicts(texts: list[str]) -> list[tuple[bool | None, str | None]]:
+        try:
+            found = [bool(v) for v in checker(texts)]
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} verdicts for {len(texts)} texts")
+            return [(v, None) for v in found]
+        except Exception as error:
+            if len(texts) == 1:
+                return [(None, f"{type(error).__name__}: {error}")]
+            return [one for text in texts for one in verdicts([text])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(a, batch_rows)
+                texts = part.column(place).to_pylist()
+                sent = [t for t in texts if t is not None]
+                answers = iter(verdicts(sent) if sent else [])
+                made = [next(answers) if t is not None else (False, None) for t in texts]
+                ok, errors = pa.array([m[0] for m in made], pa.bool_()), pa.array([m[1] for m in made], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, ok, errors], schema=kinds)
+
+    return df.mapInArrow(run, schema)
+
+
+def quarantine_unchecked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a verdict, and those on which the checker failed, with its error."""
+    return checked.where(F.col("error").isNull()).drop("error"), checked.where(F.col("error").isNotNull()).drop("ok")

@@ -258,6 +258,37 @@ def union_configs(spark, sf_dir):
     return union([docs, turns])
 
 
+@query(
+    "union_conflicting",
+    """SELECT doc_id, cast(n_chars AS DOUBLE) AS n, CASE doc_id % 3 WHEN 0 THEN '"' || lang || '"'
+      WHEN 1 THEN '{"lang":"' || lang || '","source":"' || source || '"}' ELSE '["' || lang || '","' || source || '"]' END AS meta,
+      CASE WHEN doc_id % 3 > 0 THEN lang END AS inner_lang, CASE WHEN doc_id % 3 = 2 THEN n_chars END AS inner_n,
+      CASE WHEN doc_id % 3 = 1 THEN cast(doc_id AS DOUBLE) / 2 WHEN doc_id % 3 = 2 THEN doc_id END AS half FROM documents""",
+)
+def union_conflicting(spark, sf_dir):
+    """Three configs: a value as text, object and list; a number as INT, BIGINT and DOUBLE; structs of other fields."""
+    from pairmill.sources.lattice import union_conflicting as union
+
+    docs = table(spark, sf_dir, "documents")
+    third = lambda k: docs.where(F.col("doc_id") % 3 == k)
+    parts = [
+        third(0).select("doc_id", F.col("n_chars").cast("int").alias("n"), F.col("lang").alias("meta")),
+        third(1).select(
+            "doc_id", F.col("n_chars").cast("bigint").alias("n"), F.struct("lang", "source").alias("meta"),
+            F.struct("lang", (F.col("doc_id") / F.lit(2.0)).alias("half")).alias("inner"),
+        ),
+        third(2).select(
+            "doc_id", F.col("n_chars").cast("double").alias("n"), F.array("lang", "source").alias("meta"),
+            F.struct(F.col("n_chars").cast("bigint").alias("n"), F.col("doc_id").alias("half"), "lang").alias("inner"),
+        ),
+    ]
+    made = union(parts)
+    return made.select(
+        "doc_id", "n", F.to_json("meta").alias("meta"), F.col("inner.lang").alias("inner_lang"),
+        F.col("inner.n").alias("inner_n"), F.col("inner.half").alias("half"),
+    )
+
+
 # ------------------------------------------------------------------ whole ladders
 
 def _shapes():

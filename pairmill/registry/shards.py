@@ -205,12 +205,19 @@ def scan_text_fallback(spark, sf_dir):
     )
 
 
-@query("source_probe")
+@query(
+    "source_probe",
+    """SELECT * FROM (VALUES ('documents', true, NULL), ('conversations', true, NULL), ('events', true, NULL),
+      ('missing', false, 'PATH_NOT_FOUND'), ('wrong_format', false, 'unreadable')) v(source, ok, detail)""",
+)
 def source_probe(spark, sf_dir):
     sources = [(t, f"{sf_dir}/{t}.parquet", "parquet") for t in ("documents", "conversations", "events")]
     sources.append(("missing", f"{sf_dir}/no_such_table.parquet", "parquet"))
     sources.append(("wrong_format", f"{sf_dir}/documents.parquet", "orc"))
-    return scans.source_probe(spark, sources)
+    found = scans.source_probe(spark, sources)
+    # a reader names the broken file differently in each release
+    detail = F.when((F.col("detail") != "PATH_NOT_FOUND") & ~F.col("ok"), "unreadable").otherwise(F.col("detail"))
+    return found.withColumn("detail", detail)
 
 
 @query("scan_skip_corrupt", _DOCS)

@@ -16,6 +16,7 @@ from pairmill.registry.base import (
     token_lengths,
 )
 from pairmill.registry.shards import CHUNK, _CHUNKED, chunked_docs
+from pairmill.storage import staged
 
 MB = 4
 
@@ -121,6 +122,26 @@ def trace_sample(spark, sf_dir):
     return made.select("event_id", "epoch", "global_mb", "value")
 
 
+@query(
+    "decoder_trace",
+    f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS seq FROM documents),
+    b AS (SELECT lang AS domain, seq // 100 AS chunk_idx, (seq % 100) // {MB} AS mini_batch, avg(n_chars) AS loss
+      FROM n GROUP BY ALL)
+    SELECT domain, cast(unnest(range(2)) + 1 AS INT) AS epoch, cast(chunk_idx + 1 AS INT) AS chunk_idx,
+      cast(mini_batch + 1 AS INT) AS mini_batch, round(loss, 8) AS cross_entropy_loss FROM b WHERE mini_batch % 10 = 0""",
+)
+def decoder_trace(spark, sf_dir):
+    """Mean length as a stand-in loss of each mini-batch; the log takes each tenth batch of a chunk."""
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("domain"), "doc_id", "n_chars")
+    rows = number_rows(rows, ["domain"], "doc_id", "seq")
+    rows = rows.select(
+        "domain", "n_chars", F.expr("cast(seq div 100 as int)").alias("chunk_idx"), (F.col("seq") % 100).alias("pos_in_chunk")
+    )
+    batches = feed.minibatch_assign(rows, MB).groupBy("domain", "chunk_idx", "mini_batch").agg(F.avg("n_chars").alias("loss"))
+    made = feed.decoder_trace(feed.epoch_replicate(batches, 2), "loss", ["domain"])
+    return made.withColumn("cross_entropy_loss", F.round("cross_entropy_loss", 8))
+
+
 # ------------------------------------------------------------------ losses
 
 
@@ -316,6 +337,27 @@ def token_length_stats(spark, sf_dir):
     return made.drop("ids_median").withColumn("ids_avg", F.round("ids_avg", 8))
 
 
+@query(
+    "manifest_length_quantiles",
+    f"""WITH t AS (SELECT lang AS domain, len({SQL_LENGTHS}) AS n FROM documents)
+    SELECT domain, count(*) AS n_rows, true AS median_within, true AS tenth_within FROM t GROUP BY domain""",
+)
+def manifest_length_quantiles(spark, sf_dir):
+    """Median and lowest tenth of each domain from its shards' sketches: whether their true ranks are within the bound."""
+    rows = chunked_docs(spark, sf_dir).withColumn("input_tokens", token_lengths()).drop("text")
+    rows = staged(rows.withColumn("response_tokens", F.col("input_tokens")), "lengths")
+    found = metrics.length_quantiles(metrics.sketched_manifest(rows), ["domain"], 0.5, 0.1)
+    lengths = rows.select("domain", F.size("input_tokens").alias("n"))
+    ranked = lengths.join(found, "domain").groupBy("domain", "n_rows").agg(
+        *[
+            ((F.avg((F.col("n") < F.col(v)).cast("int")) <= share + metrics.SKETCH_ERROR)
+             & (F.avg((F.col("n") <= F.col(v)).cast("int")) >= share - metrics.SKETCH_ERROR)).alias(out)
+            for v, share, out in (("prompt_lengths_500", 0.5, "median_within"), ("prompt_lengths_100", 0.1, "tenth_within"))
+        ]
+    )
+    return ranked
+
+
 @query(
     "shard_validate",
     """WITH v AS (SELECT label, vec_id, embedding, (1 + (vec_id % 3) / 1000.0)
@@ -417,3 +459,46 @@ def attempt_resolution(spark, sf_dir):
         F.coalesce(F.col("quality") == 1, F.lit(False)).alias("ok"),
     )
     return rollouts.attempt_resolution(log, ["prompt_id"])
+
+
+@query(
+    "attempt_errors",
+    """WITH a AS (SELECT doc_id // 4 AS prompt_id, doc_id % 4 + 1 AS attempt, text AS code, n_chars % 7 = 0 AS ok,
+      n_chars % 5 = 1 AS broke FROM documents),
+    g AS (SELECT prompt_id, min(attempt) FILTER (WHERE ok OR broke) AS hit, max(attempt) AS last FROM a WHERE attempt <= 3
+      GROUP BY prompt_id)
+    SELECT prompt_id, hit IS NOT NULL AND ok AS solved, coalesce(hit, last) AS attempts, code
+    FROM g JOIN a USING (prompt_id) WHERE attempt = coalesce(hit, last)""",
+)
+def attempt_errors(spark, sf_dir):
+    """An attempt whose check broke is the last one, whatever comes after it in the log."""
+    log = table(spark, sf_dir, "documents").select(
+        F.floor(F.col("doc_id") / 4).alias("prompt_id"),
+        (F.col("doc_id") % 4 + 1).alias("attempt"),
+        F.col("text").alias("code"),
+        (F.col("n_chars") % 7 == 0).alias("ok"),
+        (F.col("n_chars") % 5 == 1).alias("broke"),
+    )
+    return rollouts.attempt_resolution(log, ["prompt_id"], error="broke")
+
+
+@query(
+    "checker_hook",
+    """SELECT doc_id, n_chars % 2 = 0 AS ok, CAST(NULL AS VARCHAR) AS error, round(CAST(CASE WHEN n_chars % 2 = 0 THEN 1.0 ELSE 0.0 END
+      - 0.01 * (doc_id % 8) AS DOUBLE), 8) AS reward FROM documents WHERE n_chars % 11 <> 0
+    UNION ALL SELECT doc_id, NULL, 'ValueError: ' || n_chars, NULL FROM documents WHERE n_chars % 11 = 0""",
+)
+def checker_hook(spark, sf_dir):
+    """Verdicts of a caller's checker become rewards; texts on which it raises are set aside with the error."""
+
+    def checker(texts):
+        if any(len(t) % 11 == 0 for t in texts):
+            raise ValueError(len(next(t for t in texts if len(t) % 11 == 0)))
+        return [len(t) % 2 == 0 for t in texts]
+
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("code"))
+    judged, broken = rollouts.quarantine_unchecked(rollouts.check_candidates(docs, checker))
+    loops = (F.col("doc_id") % 8).cast("double")
+    scored = judged.select("doc_id", "ok", F.lit(None).cast("string").alias("error"), rollouts.reward(F.col("ok"), loops).alias("reward"))
+    aside = broken.select("doc_id", F.lit(None).cast("boolean").alias("ok"), "error", F.lit(None).cast("double").alias("reward"))
+    return scored.unionByName(aside).withColumn("reward", F.round("reward", 8))
