@@ -1,6 +1,7 @@
 """Union of configs whose schemas contradict one another, field by field.
 
-Two types meet in the least type that holds both: numbers widen, a date becomes a timestamp, structs are
+Two types meet in the least type that holds both: numbers widen (to DOUBLE where no exact type does, so whole
+numbers beyond 2 ** 53 are rounded there), a date becomes a timestamp, structs are
 merged by field name and arrays by element. What has no common type, as text against an object, is packed
 as VARIANT, which keeps each value as it was. Types are compared once, on the driver; rows only see casts.
 """
