@@ -2,12 +2,13 @@
 
 P(w | v) = a2 c(v, w) / c(v) + a1 c(w) / N + a0 / (V + 1), with the three weights chosen by the frequency
 bucket of the context v (powers of two of c(v)). The weights come from expectation-maximisation over
-tokens of held-out blocks, whose counts are left out while it runs; scores use all training counts.
+tokens of held-out documents, whose counts are left out while it runs; scores use all training counts.
 
 Texts are coded by blocks: each block has its own list of distinct words and writes its tokens as places
 in it. A block asks once for each distinct word and bigram; the questions meet by hash in buckets, where
 counts of all blocks are added up and sent back. So every count of the corpus is exact and nothing but
-the histogram for the weights, of fixed size, comes to the driver. Words are known by 64-bit hashes.
+the histogram for the weights, of fixed size, comes to the driver. Words are known by 64-bit hashes. How
+rows are dealt decides which texts share a block, but neither what is counted nor what is held out.
 
 Cases: a null, empty or blank text is one end token; a null id is a training row; repeated rows count as
 often as they stand and each gets its row; without training rows N is 0, all is unseen and the score is
@@ -28,7 +29,7 @@ from pairmill.storage import staged
 
 BLOCK_CHARS = 6 << 20
 LEAST_BLOCKS = 24
-#: Every so many blocks one is held out while the weights are learned.
+#: By a hash of its id one document in so many is held out while the weights are learned; blocks hold either kind.
 HELD_OUT_EVERY = 8
 BUCKETS_OF_CONTEXT = 24
 BUCKET_ENTRIES = 1 << 20
@@ -260,15 +261,14 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", parts
     size = df.agg(F.sum(F.length(text))).first()[0] or 0
     block_chars = max(1, min(BLOCK_CHARS, size // LEAST_BLOCKS))
     held = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == 0, F.lit(False))
-    number = F.monotonically_increasing_id()
-    blocks = code_blocks(df, doc_id, text, held, block_chars).withColumn("block", number)
-    every = (F.shiftright("block", 33) + F.col("block").bitwiseAND(F.lit((1 << 33) - 1))) % HELD_OUT_EVERY
-    blocks = staged(blocks.withColumn("tuning", every == 0), "lm-blocks")
+    kept_back = F.pmod(F.xxhash64(doc_id), F.lit(HELD_OUT_EVERY)) == 0
+    sides = [code_blocks(df.where(c), doc_id, text, held, block_chars).withColumn("tuning", F.lit(t)) for c, t in ((~kept_back, False), (kept_back, True))]
+    blocks = staged(sides[0].unionByName(sides[1]).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
     sums = blocks.agg(F.sum("n_tokens"), F.sum("n_train"), F.sum(F.when(F.col("tuning"), F.col("n_train")))).first()
     total, tuned = sums[1] or 0, sums[2] or 0
     bits = max(4, math.ceil(math.log2(max((sums[0] or 1) / BUCKET_ENTRIES, 1))))
     replies = staged(_answer(_ask(blocks, bits)), "lm-replies")
     types = replies.agg(F.sum("types")).first()[0] or 0
-    cells = _histogram(blocks.filter("tuning"), replies.filter("tuning AND block >= 0"), total - tuned).toPandas()
+    cells = _histogram(blocks.filter("tuning"), replies.filter("tuning AND block >= 0"), total - tuned).toPandas().sort_values("cell")
     weights = learn_weights(*(cells[k].to_numpy() for k in ("cell", "n", "two", "one")), uniform=1 / (types + 1))
     return _scores(blocks, replies.filter("block >= 0"), weights, total, types)

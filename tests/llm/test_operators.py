@@ -223,6 +223,17 @@ def test_toxicity_swaps_keep_scores(spark, empty):
     assert toxicity.fit(empty, labels).scores(["x"])[0] < 1e-6
 
 
+def test_lm_scores_do_not_depend_on_the_partitions(spark):
+    draw = np.random.default_rng(12)
+    texts = [" ".join(f"w{min(x, 60)}" for x in draw.geometric(0.05, draw.integers(0, 60))) for _ in range(400)]
+    df = spark.createDataFrame([(k if k % 50 else None, t) for k, t in enumerate(texts)], "doc_id bigint, text string").cache()
+    found = []
+    for n in (1, 5, 16):
+        rows = interpolated_lm.score_texts(df.repartition(n)).collect()
+        found.append(sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 9), round(r.score, 9)) for r in rows))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 400
+
+
 def test_near_duplicates(docs, empty):
     rows = neardup.near_duplicates(docs).collect()
     found = {r.doc_id: r for r in rows}
