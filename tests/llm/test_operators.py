@@ -120,6 +120,38 @@ def test_contexts_reveal_spaced_numbers_and_spelled_addresses(spark):
         assert [(s.begin, s.end, s.kind) for s in found[k].spans] == ([(len(before), len(before) + len(value), kind)] if kind else [])
 
 
+def test_secrets_seed_patterns_and_sure_values_further_ones(spark):
+    """Assigned secrets make the word before them a pattern; what it reveals makes the next word one."""
+    run = lambda k: f"{k:04x}c0ffee{k * 19:06d}ab12de{k:03d}"
+    rows = [(k, f'set token = "{run(k)}" here') for k in range(60)]
+    rows += [(100 + k, f"the token {run(100 + k)} and bearer {run(100 + k)} there") for k in range(10)]
+    rows += [(200, f"a bearer {run(200)} only"), (201, f"commit {run(201)} only"), (202, 'checksum = "' + run(202) + '"')]
+    found = {r.k: [(s.begin, s.end, s.kind) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "k int, text string"), ["k"]).collect()}
+    size = len(run(1))
+    assert all(found[k] == [(13, 13 + size, "secret")] for k in range(60))
+    assert all(("secret" in {s[2] for s in found[100 + k]}) and len(found[100 + k]) == 2 for k in range(10))
+    assert found[200] == [(9, 9 + size, "secret")] and not found[201] and not found[202]
+
+
+def test_places_and_overlaps_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    text = "é 12-345678 x@y.zz 77.1.2.3 555-1234567 😀 4111111111111111 A1234567 " * 5
+    row = pii._with_occurrences(pii.base_spans(spark.createDataFrame([(text,)], "text string")), "text").first()
+    assert [(s.begin, s.place, s.kind, s.end) for s in row.base] == base_spans(text)
+    assert all(text[s.begin : s.end] == s.value for s in row.seen)
+    taken = [(s.begin, s.end) for s in row.base]
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", text) if sum(c in "0123456789" for c in m.group()) >= pii.LEAST_DIGITS]
+    free = {t for t in tokens if not any(a < t[1] and t[0] < b for a, b in taken)}
+    assert {(s.begin, s.end) for s in row.seen if s.form == "token"} == free
+
+
+def test_personal_data_of_no_rows_and_clashing_names(spark):
+    kinds = "doc_id bigint, text string, begin int, kind string, __run string"
+    assert not pii.find_pii(spark.createDataFrame([], kinds), ["doc_id", "kind"]).collect()
+    df = spark.createDataFrame([(1, "a@b.c", 5, "k", "z"), (None, None, None, None, None)], kinds)
+    assert {(r.doc_id, r.kind, len(r.spans)) for r in pii.find_pii(df, ["doc_id", "kind"]).collect()} == {(1, "k", 1), (None, None, 0)}
+
+
 def test_licences(docs):
     tag = "x SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0. End"
     found = licences.scan(tag)
