@@ -1,11 +1,11 @@
 """Licence scans: one Aho-Corasick pass over a text's words, then expressions by a shunting yard.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. The automaton holds notice phrases
-and the words of identifier tags; where a tag is found, the expression behind it in the raw text is
+and the words of identifier tags and of tags in prose ("licensed under"); where a tag is found, the expression behind it in the raw text is
 parsed (AND before OR, WITH binds closest, brackets) and evaluated to the least obligation among the
 choices of OR, the greatest among the parts of AND, one level lower under an exception. A name outside
 the tables is an operand of obligation UNKNOWN, the greatest. Expressions go on over line ends and the
-comment marks behind them.
+comment marks behind them. Behind words of prose only a whole expression of known names counts.
 
 Cases: a null or empty text has no words, labels or places; an expression that breaks off or does not
 parse is listed with "? " before it, its names are labels and its obligation is UNKNOWN; repeated rows each get their row; further columns are not read.
@@ -38,9 +38,18 @@ NOTICE_PHRASES = {
     "public domain": "public-domain",
     "boost software license": "bsl-1.0",
     "isc license": "isc",
+    "mit license": "mit",
+    "bsd license": "bsd",
+    "gnu general public license version 2": "gpl-2.0",
+    "gnu general public license version 3": "gpl-3.0",
+    "lesser general public license version 2 1": "lgpl-2.1",
+    "lesser general public license version 3": "lgpl-3.0",
+    "affero general public license version 3": "agpl-3.0",
 }
 #: The words of identifier tags.
 TAGS = ("spdx license identifier", "license expression")
+#: Words in prose behind which an expression may stand.
+PROSE_TAGS = ("licensed under", "licenced under", "released under", "distributed under", "available under")
 #: Identifiers and their obligation (0 none, 1 notice, 2 file, 3 library, 4 whole work, 5 network use).
 IDENTIFIERS = {
     "0bsd": 0, "cc0-1.0": 0, "unlicense": 0, "mit": 1, "mit-0": 0, "isc": 1, "bsd-2-clause": 1, "bsd-3-clause": 1,
@@ -61,6 +70,7 @@ EXCEPTIONS = ("classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception",
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _TAG_IN_TEXT = re.compile(r"(?:spdx[^0-9A-Za-z]+)?license[^0-9A-Za-z]+(?:identifier|expression)[ \t]*[:=][ \t]*", re.I)
+_PROSE_TAG = re.compile(r"\b(?:licen[sc]ed|released|distributed|available)\s+under\s+(?:either\s+(?:of\s+)?)?(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?", re.I)
 _TOKEN = re.compile(r"[()]|DocumentRef-[A-Za-z0-9.-]+:[A-Za-z0-9][A-Za-z0-9.+-]*|[A-Za-z0-9][A-Za-z0-9.+-]*", re.I)
 _BLANK = re.compile(r"[ \t]*")
 #: A line end, and the mark of a comment that goes on.
@@ -74,7 +84,7 @@ _automata: list[ahocorasick.Automaton] = []
 def _automaton() -> ahocorasick.Automaton:
     if not _automata:
         built = ahocorasick.Automaton()
-        for phrases, kind in ((NOTICE_PHRASES, "notice"), (dict.fromkeys(TAGS, ""), "tag"), (BASE_PHRASES, "base")):
+        for phrases, kind in ((NOTICE_PHRASES, "notice"), (dict.fromkeys(TAGS, ""), "tag"), (dict.fromkeys(PROSE_TAGS, ""), "prose"), (BASE_PHRASES, "base")):
             for phrase, label in phrases.items():
                 built.add_word(f" {phrase} ", (kind, label, len(phrase) + 1))
         built.make_automaton()
@@ -208,12 +218,15 @@ def expression_at(text: str, begin: int) -> tuple[str, int, frozenset[str]] | No
 def scan(text: str) -> dict:
     words = text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
     line = f" {b' '.join(words).decode('latin-1')} "
-    base, labels, base_labels, tagged = [], set(), set(), False
+    base, labels, base_labels, tagged, in_prose = [], set(), set(), False, False
     noted = position = counted = 0
     for last, (kind, label, length) in _automaton().iter(line):
         if kind == "tag":
             tagged = True
             continue
+        if kind == "prose":
+            in_prose = True
+            continue
         labels.add(label)
         if kind == "notice":
             noted += 1
@@ -225,12 +238,15 @@ def scan(text: str) -> dict:
         base.append(position)
         base_labels.add(label)
     expressions, obligation = [], None
-    if tagged:
-        for tag in _TAG_IN_TEXT.finditer(text):
-            if found := expression_at(text, tag.end()):
-                expressions.append(found[0])
-                labels |= found[2]
-                obligation = found[1] if obligation is None else max(obligation, found[1])
+    tags = {tag.end() for tag in _TAG_IN_TEXT.finditer(text)} if tagged else set()
+    # in prose only what is whole and of known names is taken for an expression
+    loose = {tag.end() for tag in _PROSE_TAG.finditer(text)} if in_prose else set()
+    for at in sorted(loose.union(tags)):
+        found = expression_at(text, at)
+        if found and (at in tags or (found[0][0] != "?" and all(_known(name) for name in found[2]))):
+            expressions.append(found[0])
+            labels |= found[2]
+            obligation = found[1] if obligation is None else max(obligation, found[1])
     score = 1.0 if expressions else 1.0 - 0.5 ** (len(base) + noted)
     return {
         "n_words": len(words), "n_base": len(base), "first_word": min(base, default=None), "last_word": max(base, default=None),
