@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ _SAME_ENDS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt d
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S
 )
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_CLASS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 _MASK = (1 << 64) - 1
@@ -72,9 +73,9 @@ _AS_PROSE = 0x5DEECE66D1B54A33
 class Node:
     __slots__ = ("tag", "parent", "marked", "parts", "text", "size", "prose", "digest", "label")
 
-    def __init__(self, tag: str, parent: Node | None, label: str):
+    def __init__(self, tag: str, parent: Node | None, label: str, said: str):
         self.tag, self.parent, self.label = tag, parent, label
-        self.marked = tag in NO_ARTICLE or (tag not in NEVER_MARKED and bool(MARKS.intersection(_WORD.findall(label))))
+        self.marked = tag in NO_ARTICLE or (tag not in NEVER_MARKED and bool(MARKS.intersection(_WORD.findall(said))))
         self.parts: list[Node | str] = []
         self.prose = tag in PROSE  # or holds some
         self.text, self.size, self.digest = False, 0, 0  # size: characters outside NO_ARTICLE elements
@@ -82,8 +83,9 @@ class Node:
 
 def parse(page: str) -> Node:
     """The tree of a page; elements whose content is no text are left out."""
-    root = Node("#page", None, "")
+    root = Node("#page", None, "", "")
     here, at, end = root, 0, len(page)
+    open_now: Counter[str] = Counter()
 
     def close(node: Node) -> None:
         content = []
@@ -102,6 +104,8 @@ def parse(page: str) -> Node:
 
     def leave(names, stops) -> None:
         nonlocal here
+        if not any(open_now[n] for n in names):
+            return
         node = here
         while node is not root and node.tag not in names:
             if node.tag in stops:
@@ -111,6 +115,7 @@ def parse(page: str) -> Node:
             return
         while True:
             close(here)
+            open_now[here.tag] -= 1
             done, here = here, here.parent
             if done is node:
                 return
@@ -142,12 +147,15 @@ def parse(page: str) -> Node:
             names, stops = _SAME_ENDS[name]
             leave(names.split(), stops)
         found = _CLASS.findall(tag["rest"]) if tag["rest"] else ()
-        node = Node(name, here, " ".join(" ".join(x) for x in found).lower())
+        # the id of a paragraph or heading names its subject, not its role
+        said = [" ".join(x[1:]).lower() for x in found if name not in PROSE or x[0].lower() != "id"]
+        node = Node(name, here, " ".join(" ".join(x[1:]) for x in found).lower(), " ".join(said))
         here.parts.append(node)
         if name in VOID or tag["rest"].endswith("/"):
             close(node)
         else:
             here = node
+            open_now[name] += 1
     while here is not root:
         close(here)
         here = here.parent
@@ -187,11 +195,11 @@ def _eligible(node: Node) -> bool:
 def subtrees(root: Node) -> dict[int, bool]:
     """Digests of all block elements that may be template, and whether they are prose of an article (if they
     are so in one place, and no prose in another, they count as prose)."""
-    articles, out = _articles(root), {}
+    articles, out = {id(a) for a in _articles(root)}, {}
     stack = [(root, False, False)]
     while stack:
         node, inside, quoted = stack.pop()
-        inside = inside or any(node is a for a in articles)
+        inside = inside or id(node) in articles
         quoted = inside and (quoted or node.tag in PROSE)
         if _eligible(node):
             out[node.digest] = out.get(node.digest, False) or quoted or (inside and node.prose)
@@ -221,7 +229,8 @@ def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
                 line.append(node)
                 continue
             if node.marked or (_eligible(node) and node.digest in template):
-                flush()
+                if node.tag in BLOCKS:  # an inline element does not end its paragraph
+                    flush()
                 continue
             if node.tag == "header" and not (articles and _holds_heading(node)):
                 flush()
