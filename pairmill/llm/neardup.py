@@ -210,7 +210,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     members = staged(keyed.join(shared, "key"), "members")
     central = members.groupBy("class").agg(F.sum("members").alias("central"))
     members = staged(members.join(central, "class"), "central")
-    sets = staged(_sets(df, doc_id, text, width, central.select(F.col("class").alias("id"))).dropDuplicates(["id", "grams"]), "sets")
+    asked = _sets(df, doc_id, text, width, central.select(F.col("class").alias("id")))
+    sets = staged(asked.filter("octet_length(grams) > 0").dropDuplicates(["id", "grams"]), "sets")  # an id may have empty texts too
 
     links, labels = None, None
 
@@ -221,6 +222,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             links = new if links is None else links.union(new)
             labels = components(links)
 
+    # rows of one id are one node: the classes of its texts are linked
+    of_id = full.join(equal, ["high", "low", "n_shingles"]).select("doc_id", "class").distinct()
+    least = of_id.groupBy("doc_id").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    same_id = staged(of_id.join(least, "doc_id").filter("a <> class").select("a", F.col("class").alias("b")).distinct(), "same-id")
+    if not same_id.isEmpty():
+        links, labels = same_id, components(same_id)
+
     used = None
     members = members.withColumn("at", F.lit(0))
     for _ in range(HUB_ROUNDS):

@@ -192,6 +192,23 @@ def test_whole_licence_expressions(text, form, obligation):
     assert set(found["labels"].split(",")) == names
 
 
+@pytest.mark.parametrize(
+    "text, labels, expressions",
+    [
+        ("Released under the MIT License.", "mit", ["mit"]),
+        ("Licensed under the Apache License, Version 2.0.", "apache-2.0", []),
+        ("licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0", []),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc", []),
+        ("All rights reserved.", "reserved", []),
+        ("dual-licensed under either MIT OR (Apache-2.0 AND ISC).", "apache-2.0,isc,mit", ["mit OR (apache-2.0 AND isc)"]),
+        ("released under a grey sky and MIT", "", []),
+    ],
+)
+def test_licence_lines_in_prose(text, labels, expressions):
+    found = licences.scan(text)
+    assert (found["labels"], found["expressions"]) == (labels, expressions)
+
+
 def test_no_licence_expression():
     for text in ("", "\n\nint", "\nint main", "AND MIT"):
         found = licences.scan(f"SPDX-License-Identifier: {text}")
@@ -275,6 +292,34 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta", "one two three four five six")
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (9, b + " seven eight"), (9, "x y z")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()) == [(1, 1), (5, 1), (5, 1), (7, 1), (9, 9), (9, 9)]
+
+
+def test_near_duplicates_as_brute_force(spark):
+    """Random texts with repeated ids and copies, against all pairs."""
+    draw = np.random.default_rng(11)
+    texts = [" ".join(draw.choice(list("abcdefghijklmnop"), draw.integers(0, 40))) for _ in range(30)]
+    rows = []
+    for _ in range(160):
+        w = texts[draw.integers(30)].split()
+        if w and draw.random() < 0.5:
+            w[draw.integers(len(w))] = "q"
+        rows.append((int(draw.integers(120)), " ".join(w)))
+    sets = [(k, {tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set()) for k, t in rows for w in [t.split()]]
+    label = {k: k for k, _ in rows}
+    for _ in rows:
+        for (i, x) in sets:
+            for (j, y) in sets:
+                if i != j and x and y and label[i] != label[j] and 100 * len(x & y) >= 85 * len(x | y):
+                    label[i] = label[j] = min(label[i], label[j])
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    some = {k for k, x in sets if x} - {k for k, x in sets if not x}
+    assert {(r.doc_id, r.component_id) for r in found if r.doc_id in some} == {(k, label[k]) for k in some}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 90)], "a bigint, b bigint")
     assert {r.node: r.label for r in neardup.components(edges).collect()} == {**{k: 1 for k in range(1, 41)}, 90: 90, 100: 90}
@@ -323,6 +368,19 @@ def test_class_words_do_not_take_the_page(page):
     assert templates.main_text(templates.parse(page), frozenset()) == "Own text"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>Hello <span class="share">x</span> world</p></article>', "Hello world"),
+        ('<article><p id="search-algorithms">On search</p><h2 id="menu">Menus</h2></article>', "On search\nMenus"),
+        ('<article><p class="advert">Buy</p><p>Read</p></article>', "Read"),
+        ("<p>a" + "<b>" * 30_000 + "</i>" * 30_000 + "z", "az"),
+    ],
+)
+def test_inline_elements_ids_and_stray_ends(page, text):
+    assert templates.main_text(templates.parse(page), frozenset()) == text
+
+
 def test_templates_count_distinct_pages(spark, monkeypatch):
     copy = "<body><div>Same <p>in all copies</div>{}</body>"
     inside = "<body><article><div><p>Copied article</p></div></article></body>"
