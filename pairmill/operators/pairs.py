@@ -81,12 +81,13 @@ def batch_pairs(
     df: DataFrame, batch: str, row: str, vector: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """For each row, over all other rows of its batch: how many there are, the sum of the
-    positive cosines and the highest cosine. One output row per input row, never one per pair."""
+    positive cosines and the highest cosine. One output row per input row, never one per pair.
+    Rows of a NULL batch are a batch."""
     sizes = df.groupBy(batch).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
     block = F.pmod(F.xxhash64(row), F.col("_blocks")).cast("int")
     placed = (
         df.select(batch, row, F.col(vector).cast("array<double>").alias("_v"))
-        .join(sizes, batch)
+        .transform(join_small, sizes, [batch])
         .withColumn("_block", block)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumns({"_a": F.least("_block", "_other"), "_b": F.greatest("_block", "_other")})

@@ -329,3 +329,11 @@ def test_turns_without_role_or_text_stay(spark):
     folded = {r.conv_id: (r.prompt, r.response) for r in conversations.fold_to_tokens(turns).collect()}
     sides = fold_conversation_v2(turns).select("conv_id", *[tokens.split_tokens(F.col(c)).alias(c) for c in ("prompt", "response")])
     assert folded == {r.conv_id: (r.prompt, r.response) for r in sides.collect()}
+
+
+def test_pairs_of_a_null_batch(spark):
+    """Rows without a batch are a batch of their own."""
+    rows = [(None, 1, [1.0, 0.0]), (None, 2, [1.0, 1.0]), (3, 3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "b int, r bigint, v array<double>")
+    found = {r.r: (r.b, r.partners) for r in pairs.batch_pairs(df, "b", "r", "v").collect()}
+    assert found == {1: (None, 1), 2: (None, 1), 3: (3, 0)}
