@@ -29,6 +29,8 @@ from pairmill.storage import staged
 
 ROWS, PARTS = 2, 9
 HUB_ROUNDS = 3
+#: Buckets with more members meet in blocks of about so many, one pair of blocks a cell.
+BLOCK_MEMBERS = 500
 #: Ids of at most this many rows (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -167,6 +169,25 @@ def _met(members: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
 
 
+def _in_cells(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and partners under keys of their own for each pair of blocks of a large bucket.
+
+    A member's block is a hash of its class; it goes to the cell of its block and each other one, so no cell
+    holds more than some two blocks, and two members of different blocks share just one cell. Those of one
+    block meet in its own cell alone.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = F.col("block") == F.col("other")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    cells = cells.withColumn("key", F.struct("key", low.alias("low"), high.alias("high"), inside.alias("same"))).drop("blocks", "other")
+    cells = staged(cells, "cells")
+    # a cell of two blocks joins the lower one with the upper one, a cell of one block joins it with itself
+    partner = cells.filter("key.same OR block = key.high").select("key", *_as_partner())
+    return cells.filter("key.same OR block = key.low"), partner
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node reachable) for all nodes of the edges, by repeated contraction.
 
@@ -246,8 +267,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         marked = _mixed(members, labels)
         best = marked.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", "key", F.lit(turn)).alias("h"), *_as_partner())).alias("hub"))
         link(_met(marked, best.select("key", "hub.b", "hub.n_b", "hub.at_b", "hub.label_b"), percent))
-    marked = staged(_mixed(members, labels), "apart")
-    link(_met(marked, marked.select("key", *_as_partner()), percent))
+    link(_met(*_in_cells(staged(_mixed(members, labels), "apart")), percent))
     found = classes.select("high", "low", "n_shingles", "class")
     if labels is not None:
         found = found.join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
