@@ -14,6 +14,7 @@ Repeated rows each get their row; further columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -85,14 +86,38 @@ def _known(texts: list[str], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both // max(len(names), 1), both % max(len(names), 1)
 
 
-def swapped(text: str) -> list[tuple[str, str]]:
-    """Every sentence that names a group, with each single term swapped for each other of its group."""
-    out = []
-    for sentence in _SENTENCE.findall(text):
-        for term in _TERM.finditer(sentence):
-            for other in _GROUP_OF[term.group().lower()]:
-                if other != term.group().lower():
-                    out.append((sentence, sentence[: term.start()] + other + sentence[term.end() :]))
+def _term_features() -> dict[str, set[int]]:
+    terms = sorted(_GROUP_OF)
+    hashes, owners = _distinct(terms)
+    return {term: set(hashes[owners == k].tolist()) for k, term in enumerate(terms)}
+
+
+def swaps(text: str, names: np.ndarray) -> Counter:
+    """How many sentences change by each swap: known features lost and gained, when one term stands for another.
+
+    Sentences that name a group are read as counted features. To swap a term takes away those of its
+    features that nothing else in the sentence has, and adds those of the other that it lacks; a sentence has
+    at most one swap for each two terms of a group, however long it is.
+    """
+    out = Counter()
+    sentences = [s for s in _SENTENCE.findall(text) if _TERM.search(s)]
+    if not sentences:
+        return out
+    found = features(sentences)
+    hashes, owners = np.concatenate([h for h, _ in found]), np.concatenate([o for _, o in found])
+    order = np.argsort(owners, kind="stable")
+    cuts = np.searchsorted(owners[order], np.arange(len(sentences) + 1))
+    of_term, known = _term_features(), {int(h): k for k, h in enumerate(names)}
+    for k, sentence in enumerate(sentences):
+        counted = dict(zip(*(x.tolist() for x in np.unique(hashes[order[cuts[k] : cuts[k + 1]]], return_counts=True))))
+        for term in {t.lower() for t in _TERM.findall(sentence)} & _GROUP_OF.keys():
+            once = {f for f in of_term[term] if counted.get(f) == 1}
+            for other in _GROUP_OF[term]:
+                if other != term:
+                    lost = tuple(sorted(known[f] for f in once - of_term[other] if f in known))
+                    gained = tuple(sorted(known[f] for f in of_term[other] if f in known and f not in counted))
+                    if lost or gained:
+                        out[lost, gained] += 1
     return out
 
 
@@ -106,13 +131,18 @@ class Model:
         return 1.0 / (1.0 + np.exp(-z))
 
 
-def regress(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept by full-batch gradient steps with momentum and per-weight scale."""
+def regress(rows: list[np.ndarray], labels: np.ndarray, pairs: dict[tuple[tuple, tuple], int], width: int, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept by full-batch gradient steps with momentum and per-weight scale.
+
+    ``pairs`` counts the sentences of each swap, as features lost and gained.
+    """
     sizes = np.array([len(r) for r in rows])
     columns, owners = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
-    pair_columns = np.concatenate([np.concatenate(p) for p in pairs]).astype(np.int64) if pairs else np.empty(0, np.int64)
-    pair_owner = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs]) if pairs else np.empty(0, np.int64)
-    sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in pairs]) if pairs else np.empty(0)
+    changes = sorted(pairs)
+    pair_columns = np.array([c for lost, gained in changes for c in (*lost, *gained)], np.int64)
+    pair_owner = np.repeat(np.arange(len(changes)), [len(a) + len(b) for a, b in changes]) if changes else np.empty(0, np.int64)
+    sign = np.array([x for lost, gained in changes for x in (*[1.0] * len(lost), *[-1.0] * len(gained))])
+    often = np.array([float(pairs[c]) for c in changes])
     share = labels.mean()
     w, b = np.zeros(width), np.log(share / (1 - share))
     first, second = np.zeros(width + 1), np.zeros(width + 1)
@@ -121,8 +151,8 @@ def regress(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nda
         error = (1.0 / (1.0 + np.exp(-z)) - labels) / len(rows)
         slope = np.append(np.bincount(columns, error[owners], width) + 2 * RIDGE * w, error.sum())
         if pairs:
-            change = np.bincount(pair_owner, w[pair_columns] * sign, len(pairs))
-            slope[:width] += 2 * COUNTERFACTUAL / len(pairs) * np.bincount(pair_columns, change[pair_owner] * sign, width)
+            change = np.bincount(pair_owner, w[pair_columns] * sign, len(changes)) * often
+            slope[:width] += 2 * penalty / often.sum() * np.bincount(pair_columns, change[pair_owner] * sign, width)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:width], b - move[width]
@@ -148,7 +178,7 @@ def _telling(sample: DataFrame, texts: int, toxic: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = TRAINING_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = TRAINING_ROWS, penalty: float = COUNTERFACTUAL) -> Model:
     """``labels`` must hold only rows that may teach. At most ``rows`` of them reach the tasks or the driver."""
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("doc_id"))
     taught = known.agg(F.max(F.col(toxic).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -161,37 +191,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(share / (1 - share))))
     names = _telling(sample, n, bad)
     shared = docs.sparkSession.sparkContext.broadcast(names)
-    schema = "toxic int, places array<int>, before array<int>, after array<int>, sizes array<int>"
+    schema = "toxic int, places array<int>"
+    swap_schema = "lost array<int>, gained array<int>, often bigint"
 
-    def work(part, found):
-        names = shared.value
-        owner, place = _known(found, names)
+    def known(part, found):
+        owner, place = _known(found, shared.value)
         cuts = np.searchsorted(owner, np.arange(len(found) + 1))
-        columns = {k: [] for k in ("places", "before", "after", "sizes")}
-        for k, one in enumerate(found):
-            columns["places"].append(place[cuts[k] : cuts[k + 1]])
-            before, after, sizes = [], [], []
-            if pairs := swapped(one):
-                sides = [_known([p[s] for p in pairs], names) for s in (0, 1)]
-                for j in range(len(pairs)):
-                    a, b = (set(p[o == j].tolist()) for o, p in sides)
-                    if a != b:
-                        before += sorted(a - b)
-                        after += sorted(b - a)
-                        sizes += [len(a - b), len(b - a)]
-            columns["before"].append(before), columns["after"].append(after), columns["sizes"].append(sizes)
-        yield {"toxic": part.column(0)} | columns
-
-    data = map_texts(sample, ["toxic"], "text", schema, work).collect()
-    pairs = []
-    for row in data:
-        a = b = 0
-        for k in range(0, len(row.sizes), 2):
-            x, y = row.sizes[k], row.sizes[k + 1]
-            pairs.append((np.array(row.before[a : a + x], int), np.array(row.after[b : b + y], int)))
-            a, b = a + x, b + y
+        yield {"toxic": part.column(0), "places": [place[a:b] for a, b in zip(cuts, cuts[1:])]}
+
+    def swap(part, found):
+        total = Counter()
+        for one in found:
+            total.update(swaps(one, shared.value))
+        yield {"lost": [list(a) for a, _ in total], "gained": [list(b) for _, b in total], "often": list(total.values())}
+
+    data = map_texts(sample, ["toxic"], "text", schema, known).collect()
+    # as many rows as two terms of a group can differ by: a table of the terms, not of the texts
+    changes = map_texts(sample, ["toxic"], "text", swap_schema, swap).groupBy("lost", "gained").agg(F.sum("often").alias("often")).collect()
+    pairs = {(tuple(r.lost), tuple(r.gained)): r.often for r in changes}
     order = sorted(range(len(data)), key=lambda k: (data[k].places, data[k].toxic))
-    weights, intercept = regress([np.array(data[k].places, int) for k in order], np.array([float(data[k].toxic) for k in order]), pairs, len(names))
+    rows = [np.array(data[k].places, int) for k in order]
+    weights, intercept = regress(rows, np.array([float(data[k].toxic) for k in order]), pairs, len(names), penalty)
     return Model(names, weights, intercept)
 
 
