@@ -159,6 +159,52 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 FROM parted
 """
 
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM worded
+), shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS gram FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b
+    ON a.gram = b.gram AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT a AS node, a AS other FROM ways UNION SELECT r.node, w.b FROM reached r JOIN ways w ON r.other = w.a),
+least_of AS (SELECT node, min(other) AS label FROM reached GROUP BY node)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(label, doc_id) AS component_id, coalesce(label, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN least_of ON node = doc_id
+"""
+
+DECONTAMINATION_SQL = r"""
+WITH worded AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS words
+  FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS words
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM worded, (SELECT DISTINCT size FROM item_windows))
+), found AS MATERIALIZED (SELECT doc_id, i, size, item_id FROM places JOIN item_windows USING (size, words)),
+hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_byte_bpe": byte_bpe,
@@ -174,4 +220,8 @@ QUERIES = {
     "op12_periodic_runs": periodic_runs,
     "op13_fill_in_middle": fill_in_middle,
 }
-ORACLES: dict[str, str] = {"op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
+ORACLES: dict[str, str] = {
+    "op8_near_duplicates": NEAR_DUPLICATES_SQL,
+    "op9_decontamination": DECONTAMINATION_SQL,
+    "op13_fill_in_middle": FILL_IN_MIDDLE_SQL,
+}
