@@ -272,6 +272,42 @@ def test_toxicity_swaps_keep_scores(spark, empty):
     assert toxicity.fit(empty, labels).scores(["x"])[0] < 1e-6
 
 
+def test_swaps_as_swapped_texts():
+    """Features lost and gained, against the features of the sentence written out with another term."""
+    texts = ["Old men and old women", "The elderly blind man met a blind woman. Then a white, whitish citizen! None here", "\u017fikh \u0130ndian sikh", ""]
+    names = np.unique(np.concatenate([h for t in [*texts, *toxicity._GROUP_OF] for h, _ in toxicity.features([t]) for h in [h]]))
+    for text in texts:
+        expected = Counter()
+        for sentence in toxicity._SENTENCE.findall(text):
+            seen = set()
+            for found in toxicity._TERM.finditer(sentence):
+                term = found.group().lower()
+                if term not in toxicity._GROUP_OF or term in seen:
+                    continue
+                seen.add(term)
+                for other in set(toxicity._GROUP_OF[term]) - {term}:
+                    new = sentence[: found.start()] + other + sentence[found.end() :]
+                    a, b = (set(toxicity._known([t], names)[1].tolist()) for t in (sentence, new))
+                    if a != b:
+                        expected[tuple(sorted(a - b)), tuple(sorted(b - a))] += 1
+        assert toxicity.swaps(text, names) == expected
+
+
+def test_swaps_of_a_long_sentence_are_few():
+    names = np.unique(np.concatenate([h for t in toxicity._GROUP_OF for h, _ in toxicity.features([t])]))
+    assert sum(toxicity.swaps("men women black white " * 50_000, names).values()) <= 2 + 4
+
+
+def test_the_penalty_moves_scores_of_swapped_sentences(spark):
+    """A group named in insults only: without the penalty its name alone counts as toxic, with it it does not."""
+    texts = [(k, f"you muslim idiot go away number{k}" if k % 2 else f"the christian people of the town number{k}") for k in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id bigint, toxic int")
+    pair = ["a christian came", "a muslim came"]  # no other word that the model knows
+    gap = {c: float(np.subtract(*toxicity.fit(docs, labels, penalty=c).scores(pair))) for c in (0.0, 1.0)}
+    assert gap[0.0] < -0.1 and abs(gap[1.0]) < abs(gap[0.0]) / 4
+
+
 def test_lm_scores_do_not_depend_on_the_partitions(spark):
     draw = np.random.default_rng(12)
     texts = [" ".join(f"w{min(x, 60)}" for x in draw.geometric(0.05, draw.integers(0, 60))) for _ in range(400)]
@@ -298,8 +334,12 @@ def test_rows_of_one_id_are_one_node(spark):
     assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()) == [(1, 1), (5, 1), (5, 1), (7, 1), (9, 9), (9, 9)]
 
 
-def test_near_duplicates_as_brute_force(spark):
-    """Random texts with repeated ids and copies, against all pairs."""
+@pytest.mark.parametrize("rounds, block, ids", [(3, 500, 1_000_000), (1, 2, 0)])
+def test_near_duplicates_as_brute_force(spark, monkeypatch, rounds, block, ids):
+    """Random texts with repeated ids and copies, against all pairs; large buckets in blocks, ids joined or sent."""
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", ids)
     draw = np.random.default_rng(11)
     texts = [" ".join(draw.choice(list("abcdefghijklmnop"), draw.integers(0, 40))) for _ in range(30)]
     rows = []
