@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 CHUNK_CHARS = 1 << 20
 
@@ -196,6 +196,21 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def _ddl(kind: DataType) -> str:
+    """A type as DDL with the names inside it quoted, so that they may hold dots."""
+    if isinstance(kind, StructType):
+        return f"struct<{', '.join(f'{_quoted(f.name)}: {_ddl(f.dataType)}' for f in kind)}>"
+    if isinstance(kind, ArrayType):
+        return f"array<{_ddl(kind.elementType)}>"
+    if isinstance(kind, MapType):
+        return f"map<{_ddl(kind.keyType)}, {_ddl(kind.valueType)}>"
+    return kind.simpleString()
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def kept_ddl(df: DataFrame, keep: list[str]) -> str:
     """The kept columns' part of a DDL schema."""
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    return ", ".join(f"{_quoted(f.name)} {_ddl(f.dataType)}" for f in df.select(*keep).schema)
