@@ -26,7 +26,7 @@ BROADCAST_KEYS = 1_000_000
 def _without(docs: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    return docs.join(keys, on, "left_anti")
+    return docs.join(keys, on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -43,14 +43,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(docs, width=5, percent=80)
     gone = staged(found.filter("NOT kept").select("doc_id").distinct(), "duplicates")
-    return _without(docs, gone, "doc_id").select(*docs.columns)
+    return _without(docs, gone, "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = winnowing.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="__key")
-    gone = staged(found.filter("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
-    return _without(keyed, gone, "__key").select(*docs.columns)
+    keyed = _packed(docs).withColumn("key", F.xxhash64("doc.doc_id", "text"))
+    found = winnowing.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="key")
+    gone = staged(found.filter("n_hit > 0").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return _without(keyed, gone, "key").select("doc.*")
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
