@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmill.llm.textblock import SPACES, Block, Words, arrow_schema, combine, map_texts, mix
-from pairmill.storage import staged
+from pairmill.storage import staged, staged_mapped
 
 ROWS, PARTS = 2, 9
 HUB_ROUNDS = 3
@@ -139,7 +139,7 @@ def _rarest(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), i)), pa.array(grams)], schema=kinds)
 
     own = sets.join(apart.select(F.col("class").alias("id")).distinct(), "id").select("id", "grams")
-    grams = staged(own.mapInArrow(run, schema), "grams")
+    grams = staged_mapped(own.mapInArrow(run, schema), "grams")
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     ranked = grams.join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("all"))
     share = F.expr(f"size(all) - int(ceil({percent} * size(all) / 100.0)) + 1")
@@ -214,7 +214,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    rows = staged(sketches(df, doc_id, text, width), "sketches")
+    rows = staged_mapped(sketches(df, doc_id, text, width), "sketches")
     full = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     equal = full.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("class"))
     classes = staged(
@@ -232,13 +232,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     central = members.groupBy("class").agg(F.sum("members").alias("central"))
     members = staged(members.join(central, "class"), "central")
     asked = _sets(df, doc_id, text, width, central.select(F.col("class").alias("id")))
-    sets = staged(asked.filter("octet_length(grams) > 0").dropDuplicates(["id", "grams"]), "sets")  # an id may have empty texts too
+    sets = staged_mapped(asked.filter("octet_length(grams) > 0").dropDuplicates(["id", "grams"]), "sets")  # an id may have empty texts too
 
     links, labels = None, None
 
     def link(pairs: DataFrame) -> None:
         nonlocal links, labels
-        new = staged(_confirmed(pairs, sets, percent), "links")
+        new = staged_mapped(_confirmed(pairs, sets, percent), "links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             labels = components(links)

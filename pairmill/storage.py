@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
 BROADCAST_ROWS = 200_000
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that Python is handed at once while a table is staged; a longer row goes alone.
+BATCH_BYTES = 2 << 20
 
 _local_dirs: dict[str, str] = {}
 
@@ -43,6 +48,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def session_conf(spark: SparkSession, name: str, value: int) -> Iterator[None]:
+    """The setting holds for what is planned and run in here."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def staged_mapped(df: DataFrame, label: str) -> DataFrame:
+    """As ``staged``, for rows that Python functions make. Batches are bounded by bytes: of 10,000 rows each,
+    as they are otherwise, a Python worker would hold more the longer the rows are."""
+    with session_conf(df.sparkSession, BATCH_CONF, BATCH_BYTES):
+        return staged(df, label)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that at most ``max_rows`` rows exist.
 

@@ -9,7 +9,7 @@ from pairmill.registry.base import table
 from pairmill.registry.corpus import doc_vocab, document_rows
 from pairmill.registry.streams import _accept, _arrivals, _drain
 from pairmill.sources import scans, shards
-from pairmill.storage import broadcast_if_bounded, shared_dir, work_path
+from pairmill.storage import BATCH_BYTES, BATCH_CONF, broadcast_if_bounded, shared_dir, staged_mapped, work_path
 from pairmill.streaming import ingest
 
 ALL = ((None, None, 1_000_000),)
@@ -194,3 +194,46 @@ def test_row_counter(spark, raw):
     counted, seen = with_row_counter(raw)
     total = counted.where("row_pos >= 0").count()
     assert seen.get == {"n_rows": total}
+
+
+def _staged_batches(spark, monkeypatch, job):
+    """The bound on a batch that held each time ``job`` wrote a table, by the table's label."""
+    from pairmill import storage
+
+    seen, write = {}, storage.staged
+
+    def noted(df, label):
+        seen[label] = spark.conf.get(BATCH_CONF)
+        return write(df, label)
+
+    monkeypatch.setattr(storage, "staged", noted)
+    job()
+    return seen
+
+
+def test_batches_of_a_staged_table_are_bounded_by_bytes(spark):
+    before = spark.conf.get(BATCH_CONF)
+    wide = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 20_000).alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    found = staged_mapped(wide.mapInArrow(sizes, "rows bigint, bytes bigint"), "t-batches").collect()
+    assert sum(r.rows for r in found) == 3000
+    assert max(r.bytes for r in found) < 2 * BATCH_BYTES
+    assert spark.conf.get(BATCH_CONF) == before
+
+
+
+def test_python_of_near_duplicates_gets_bounded_batches(spark, monkeypatch):
+    from pairmill.llm.neardup import near_duplicates
+
+    common = "the same long line of words that two of the texts share but for the last one of them all here"
+    docs = spark.createDataFrame([(1, f"{common} a"), (2, f"{common} b"), (3, "another text with other words in it")], "doc_id bigint, text string")
+    found = {}
+    seen = _staged_batches(spark, monkeypatch, lambda: found.update({r.doc_id: r.component_id for r in near_duplicates(docs, percent=80).collect()}))
+    assert found == {1: 1, 2: 1, 3: 3}
+    assert {seen[k] for k in ("sketches", "sets", "links")} == {str(BATCH_BYTES)}
