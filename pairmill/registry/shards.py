@@ -341,7 +341,7 @@ _SHARD_SELECT = "SELECT domain, source, chunk_id, pos_in_chunk, row_pos, text FR
 @query("shard_write", f"WITH {_SHARDS} {_SHARD_SELECT}")
 def shard_write(spark, sf_dir):
     path = written_shards(spark, sf_dir, chunk_dirs=True)
-    return spark.read.parquet(path).select(*_SHARD_COLUMNS)
+    return shards.open_shards(spark, path).select(*_SHARD_COLUMNS)
 
 
 @query("shard_scan_all", f"WITH {_SHARDS} {_SHARD_SELECT}")

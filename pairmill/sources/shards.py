@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairmill.functions.text import shard_name
+from pairmill.storage import session_conf
 
 CHUNKS_PER_FILE = 20
+LISTING_CONF = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 RUNS, COMMITS = "runs", "commits"
 COMMIT_SCHEMA = "version bigint, run string"
 
@@ -86,11 +88,19 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return made
 
 
+def open_shards(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A folder of shards, listed by two tasks a core. Spark takes a task a directory otherwise, and what a task
+    reports to the driver besides the files, some 3 KB, is most of what a directory per chunk sends there."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    with session_conf(spark, LISTING_CONF, 2 * spark.sparkContext.defaultParallelism):
+        return reader.parquet(path)
+
+
 def _read_folder(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.parquet(path).schema
+    found = open_shards(spark, path).schema
     names = ("domain", "source")
     fixed = [T.StructField(f.name, T.StringType() if f.name in names else f.dataType) for f in found]
-    return spark.read.schema(T.StructType(fixed)).parquet(path)
+    return open_shards(spark, path, T.StructType(fixed))
 
 
 def scan_shards(spark: SparkSession, path: str, phase: str | None = None) -> DataFrame:

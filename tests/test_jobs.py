@@ -237,3 +237,23 @@ def test_python_of_near_duplicates_gets_bounded_batches(spark, monkeypatch):
     seen = _staged_batches(spark, monkeypatch, lambda: found.update({r.doc_id: r.component_id for r in near_duplicates(docs, percent=80).collect()}))
     assert found == {1: 1, 2: 1, 3: 3}
     assert {seen[k] for k in ("sketches", "sets", "links")} == {str(BATCH_BYTES)}
+
+
+
+
+def test_a_directory_per_chunk_is_listed_in_few_tasks(spark):
+    path = work_path(spark, "t-listing")
+    rows = spark.range(300).select(
+        F.lit("d").alias("domain"), F.lit("s").alias("source"), F.col("id").cast("int").alias("chunk_id"), F.lit(0).alias("pos_in_chunk")
+    )
+    shards.write_shards(rows, path, chunk_dirs=True)
+    context = spark.sparkContext
+    context.setJobGroup("t-listing", "listing")
+    try:
+        found = shards.open_shards(spark, path)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("t-listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and sum(s.numTasks for s in stages if s) < 150
+    assert found.count() == 300
