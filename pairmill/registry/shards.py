@@ -146,15 +146,20 @@ _CATALOG_CONFIGS = [  # dataset, config_pos, path, name, split, data_files, data
 ]
 
 
+def _in_files(df, least):
+    """A file for each split of the input, ``least`` for a small one: no file, hence no task that reads one, grows with the input."""
+    return df.repartition(max(least, df.rdd.getNumPartitions()))
+
+
 def written_catalog(spark, sf_dir):
     """The documents as Parquet by split, gzip and plain JSON lines, and text, as a catalog names them."""
     docs, root = table(spark, sf_dir, "documents"), work_path(spark, "catalog")
     split = F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train")
     lines = docs.select("doc_id", "text")
-    docs.withColumn("split", split).repartition(4).write.partitionBy("split").parquet(f"{root}/parquet")
-    lines.repartition(3).write.option("compression", "gzip").json(f"{root}/json/gz")
-    lines.where("doc_id % 5 = 0").repartition(2).write.json(f"{root}/json/deep")
-    docs.select(F.concat_ws(" ", "doc_id", "source").alias("value")).repartition(2).write.text(f"{root}/text")
+    _in_files(docs.withColumn("split", split), 4).write.partitionBy("split").parquet(f"{root}/parquet")
+    _in_files(lines, 3).write.option("compression", "gzip").json(f"{root}/json/gz")
+    _in_files(lines.where("doc_id % 5 = 0"), 2).write.json(f"{root}/json/deep")
+    _in_files(docs.select(F.concat_ws(" ", "doc_id", "source").alias("value")), 2).write.text(f"{root}/text")
     return root
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from pairmill.registry.shards import catalog_scan
+from pairmill.registry.shards import catalog_scan, written_catalog
 from pairmill.sources import catalog, reader, scans
 from pairmill.storage import work_path
 
@@ -66,3 +66,19 @@ def test_only_a_wrong_format_makes_the_reader_fall_back(spark, lines):
     with pytest.raises(AnalysisException):
         scans.scan_or_text(spark, f"{lines}/none")
     assert not scans.is_wrong_format(RuntimeError("connection reset")) and scans.is_wrong_format(RuntimeError("x is not a Parquet file. y"))
+
+
+def test_the_written_catalog_has_more_files_for_more_splits(spark, tmp_path):
+    before, sf_dir = spark.conf.get(SPLITS), str(tmp_path)
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"), F.lit("s").alias("source"))
+    rows.coalesce(1).write.parquet(f"{sf_dir}/documents.parquet")
+    try:
+        spark.conf.set(SPLITS, "20000b")
+        splits = spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
+        assert splits > 4
+        root = written_catalog(spark, sf_dir)
+        for folder in ("parquet", "json/gz", "json/deep", "text"):
+            files = spark.read.option("recursiveFileLookup", "true").text(f"{root}/{folder}").inputFiles()
+            assert len(files) >= splits
+    finally:
+        spark.conf.set(SPLITS, before)
