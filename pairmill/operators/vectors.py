@@ -17,6 +17,8 @@ from pairmill.functions.arrays import ENCODER_LIMIT, NORM_EPS, truncate
 
 DIMENSION = 1024
 MICRO_BATCH = 32
+#: Rows whose counts are held as one dense matrix.
+MATRIX_ROWS = 512
 VECTOR_TYPE = T.ArrayType(T.FloatType())
 
 
@@ -54,7 +56,8 @@ def concept_vector(
     encode = hash_encoder(dimension)
 
     def run(tokens: pa.Array) -> pa.Array:
-        return _as_vectors(encode(tokens))
+        parts = [_as_vectors(encode(tokens.slice(k, MATRIX_ROWS))) for k in range(0, len(tokens), MATRIX_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
     run.__annotations__ = {"tokens": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, VECTOR_TYPE)(truncate(tokens, limit))

@@ -14,7 +14,7 @@ from pairmill.plans.featurize import accept_pairs, build_shards, featurize_pairs
 from pairmill.plans.training_feed import decoder_feed, latent_feed
 from pairmill.registry.base import SQL_CUT_DOCS, SQL_TOKENS, documents, query, sql_tokens
 from pairmill.sources.shards import scan_shards
-from pairmill.storage import staged, work_path
+from pairmill.storage import staged_mapped, work_path
 
 DIM = 64
 
@@ -150,7 +150,7 @@ _SAMPLES = f"""WITH {SQL_CUT_DOCS}, {SQL_VOCAB},
 
 def document_samples(spark, sf_dir):
     pairs = accept_pairs(document_rows(spark, sf_dir))
-    return featurize_pairs(pairs, doc_vocab(spark, sf_dir), DIM)
+    return staged_mapped(featurize_pairs(pairs, doc_vocab(spark, sf_dir), DIM), "samples")
 
 
 def _sample_text(samples):
@@ -232,7 +232,7 @@ _SHIFTED = """array_to_string(CASE WHEN len({t}) > 1 THEN ({t})[:len({t}) - 1] E
 
 
 def _numbered_samples(spark, sf_dir):
-    return chunk_assign(staged(document_samples(spark, sf_dir), "samples"), chunk_size=10, span=100)
+    return chunk_assign(document_samples(spark, sf_dir), chunk_size=10, span=100)
 
 
 def _feed_text(feed, *columns):

@@ -227,6 +227,12 @@ def test_batches_of_a_staged_table_are_bounded_by_bytes(spark):
     assert spark.conf.get(BATCH_CONF) == before
 
 
+def test_python_of_shards_and_feeds_gets_bounded_batches(spark, sf_dir, monkeypatch, raw, vocab):
+    from pairmill.registry.corpus import _numbered_samples
+
+    fed = _staged_batches(spark, monkeypatch, lambda: _numbered_samples(spark, sf_dir))
+    assert fed["samples"] == str(BATCH_BYTES)
+
 
 def test_python_of_near_duplicates_gets_bounded_batches(spark, monkeypatch):
     from pairmill.llm.neardup import near_duplicates
@@ -239,6 +245,20 @@ def test_python_of_near_duplicates_gets_bounded_batches(spark, monkeypatch):
     assert {seen[k] for k in ("sketches", "sets", "links")} == {str(BATCH_BYTES)}
 
 
+def test_vectors_of_many_rows_are_made_in_slices(spark):
+    from pairmill.operators import vectors
+
+    tokens = [[f"w{k % 7}", f"w{k % 11}"] if k % 5 else [] for k in range(2 * vectors.MATRIX_ROWS + 3)]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "id int, t array<string>").coalesce(1)
+    made = {r.id: r.v for r in rows.select("id", vectors.concept_vector(F.col("t"), 8).alias("v")).collect()}
+    whole = vectors.hash_encoder(8)(pa_lists(tokens))
+    assert all(made[k] == [float(x) for x in whole[k].astype("float32")] for k in range(len(tokens)))
+
+
+def pa_lists(tokens):
+    import pyarrow as pa
+
+    return pa.array(tokens, pa.list_(pa.string()))
 
 
 def test_a_directory_per_chunk_is_listed_in_few_tasks(spark):
