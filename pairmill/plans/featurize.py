@@ -13,7 +13,7 @@ from pairmill.operators.numbering import CHUNK_SIZE, SPAN, chunk_assign, row_cap
 from pairmill.operators.tokens import has_token, id_lookup, split_tokens
 from pairmill.operators.vectors import DIMENSION, concept_vector
 from pairmill.sources.shards import commit_shards, has_shards, scan_shards
-from pairmill.storage import staged
+from pairmill.storage import staged, staged_mapped
 
 SAMPLE_COLUMNS = (
     "domain", "source", "dataset", "row_pos", "row_hash", "rule",
@@ -90,7 +90,7 @@ def build_shards(
         raise FileExistsError(f"{path} holds shards; name another path or resume")
     pairs = accept_pairs(raw.withColumn("row_hash", F.xxhash64("raw")), version)
     samples = featurize_pairs(pairs, vocab, dimension)
-    accepted = staged(samples.withColumn("_row", F.monotonically_increasing_id()), "accepted-samples")
+    accepted = staged_mapped(samples.withColumn("_row", F.monotonically_increasing_id()), "accepted-samples")
     keys = ["domain", "source"]
     thin = accepted.select(*keys, "row_pos", "_row", "dataset")
     if already is not None:

@@ -230,6 +230,8 @@ def test_batches_of_a_staged_table_are_bounded_by_bytes(spark):
 def test_python_of_shards_and_feeds_gets_bounded_batches(spark, sf_dir, monkeypatch, raw, vocab):
     from pairmill.registry.corpus import _numbered_samples
 
+    built = _staged_batches(spark, monkeypatch, lambda: build_shards(raw, vocab, work_path(spark, "t-bound"), chunk_size=3, dimension=16))
+    assert built["accepted-samples"] == str(BATCH_BYTES)
     fed = _staged_batches(spark, monkeypatch, lambda: _numbered_samples(spark, sf_dir))
     assert fed["samples"] == str(BATCH_BYTES)
 
