@@ -105,7 +105,8 @@ def number_rows(
         "_place", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
     inside = Window.partitionBy("_place").orderBy(position, *([tie] if tie else []))
-    made = ranged.join(offsets, "_place")
+    # every place is in the table; a left join leaves the plan, and its exchange with it, where nobody reads the number
+    made = ranged.join(offsets, "_place", "left")
     if limit is not None:
         made = made.where(F.col("_before") < limit)
     made = made.withColumn(out, F.col("_before") + F.row_number().over(inside) - 1)

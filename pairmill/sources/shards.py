@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairmill.functions.text import shard_name
-from pairmill.storage import session_conf
+from pairmill.storage import session_conf, work_path
 
 CHUNKS_PER_FILE = 20
 LISTING_CONF = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+KEPT_CONF = "spark.sql.hive.filesourcePartitionFileCacheSize"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Directories of chunks that the driver lists at once. It holds some 2 KB for each while they are listed and read.
+MOST_LISTED = 10_000
 RUNS, COMMITS = "runs", "commits"
 COMMIT_SCHEMA = "version bigint, run string"
 
@@ -36,13 +41,30 @@ def write_shards(
         placed = df.repartition("domain", "source", F.floor(F.col("chunk_id") / chunks_per_file))
         parts = ["domain", "source"]
     order = ["domain", "source", "chunk_id", "pos_in_chunk"]
-    placed.sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
+    # the exchanges of the samples go when they are written, not when the driver happens to collect its garbage
+    with session_conf(df.sparkSession, CLEANUP_CONF, "true"):
+        placed.sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
 
 
-def _folder_exists(spark: SparkSession, path: str) -> bool:
-    """Asked of the file system that Spark reads with, whatever the scheme."""
+def _place(spark: SparkSession, path: str):
+    """A path and the file system that Spark reads it with, whatever the scheme."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _folder_exists(spark: SparkSession, path: str) -> bool:
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
+def _below(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder that Spark does not hide, fetched in one call."""
+    place, files = _place(spark, folder)
+    jvm = spark.sparkContext._jvm
+    paths = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(files.listStatus(place))
+    listed = jvm.scala.runtime.ScalaRunTime.stringOf(paths).removeprefix("Array(").removesuffix(")")
+    names = f", {listed}".split(f", {files.makeQualified(place).toString()}/")[1:]  # no name has a slash
+    return [n for n in names if n[0] != "." and (n[0] != "_" or "=" in n)]
 
 
 def committed_runs(spark: SparkSession, path: str) -> list[str]:
@@ -76,31 +98,71 @@ def commit_shards(df: DataFrame, path: str, run: str | None = None, **layout) ->
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    """Published runs, or a plain folder of shards. Domain and source stay text as written: a source named 007
-    must not come back as the number 7, and a NULL one comes back as NULL."""
+    """Published runs, or a plain folder of shards."""
     runs = committed_runs(spark, path)
     if not runs and _folder_exists(spark, f"{path}/{RUNS}"):
         raise FileNotFoundError(f"{path} has no published run")
-    parts = [_read_folder(spark, f"{path}/{RUNS}/{run}") for run in runs] or [_read_folder(spark, path)]
+    parts = [open_shards(spark, f"{path}/{RUNS}/{run}") for run in runs] or [open_shards(spark, path)]
     made = parts[0]
     for part in parts[1:]:
         made = made.unionByName(part, allowMissingColumns=True)
     return made
 
 
-def open_shards(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A folder of shards, listed by two tasks a core. Spark takes a task a directory otherwise, and what a task
-    reports to the driver besides the files, some 3 KB, is most of what a directory per chunk sends there."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
+def open_shards(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of shards. Domain and source stay text as written: a source named 007 must not come back as the
+    number 7, and a NULL one comes back as NULL."""
+    chunks = _chunk_folders(spark, path)
     with session_conf(spark, LISTING_CONF, 2 * spark.sparkContext.defaultParallelism):
-        return reader.parquet(path)
+        if chunks:
+            return _open_chunks(spark, path, chunks)
+        found = spark.read.parquet(path).schema
+        return spark.read.schema(_typed(found)).parquet(path)
 
 
-def _read_folder(spark: SparkSession, path: str) -> DataFrame:
-    found = open_shards(spark, path).schema
+def _typed(found: Iterable[T.StructField]) -> T.StructType:
     names = ("domain", "source")
-    fixed = [T.StructField(f.name, T.StringType() if f.name in names else f.dataType) for f in found]
-    return open_shards(spark, path, T.StructType(fixed))
+    return T.StructType([T.StructField(f.name, T.StringType() if f.name in names else f.dataType) for f in found])
+
+
+def _chunk_folders(spark: SparkSession, path: str) -> list[str]:
+    """The directories of all chunks; none where anything in the folder is laid out in another way."""
+    folders = [path] if _folder_exists(spark, path) else []
+    for column in ("domain", "source", "chunk_id"):
+        below = [(folder, _below(spark, folder)) for folder in folders]
+        if not all(n.startswith(f"{column}=") for _, names in below for n in names):
+            return []
+        folders = [f"{folder}/{n}" for folder, names in below for n in names]
+    return folders
+
+
+def _open_chunks(spark: SparkSession, path: str, chunks: list[str]) -> DataFrame:
+    """A directory per chunk, listed by two tasks a core. Spark takes a task a directory otherwise, and what a task
+    reports to the driver besides the files, some 3 KB, is most of what a directory per chunk sends there.
+
+    The types of its columns are those of one file, so that Spark need not guess them from the name of every
+    directory, on the driver. That also holds all directories of a read, and its time for them grows with their
+    square: more than ``MOST_LISTED`` are read in parts, each written to one table without directories.
+    """
+    parts = [T.StructField("domain", T.StringType()), T.StructField("source", T.StringType()), T.StructField("chunk_id", T.IntegerType())]
+    schema = _typed([*spark.read.parquet(chunks[0]).schema, *parts])
+    with session_conf(spark, KEPT_CONF, 0):  # or Spark holds what it has listed for later reads
+        if len(chunks) <= MOST_LISTED:
+            return _by_bytes(spark.read.schema(schema).option("basePath", path).parquet(*chunks))
+        table = work_path(spark, "opened-shards")
+        for at in range(0, len(chunks), MOST_LISTED):
+            part = spark.read.schema(schema).option("basePath", path).parquet(*chunks[at : at + MOST_LISTED])
+            _by_bytes(part).write.mode("append").parquet(table)
+    return spark.read.schema(schema).parquet(table)
+
+
+def _by_bytes(found: DataFrame) -> DataFrame:
+    """As many tasks as the bytes of the files ask for, two a core at least. Spark counts every file as 4 MB more, so
+    that a directory per chunk is read by a task for each few chunks, and what they return is written as many files."""
+    spark = found.sparkSession
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = -(-int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // most)
+    return found.coalesce(max(tasks, 2 * spark.sparkContext.defaultParallelism))
 
 
 def scan_shards(spark: SparkSession, path: str, phase: str | None = None) -> DataFrame:

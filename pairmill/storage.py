@@ -49,7 +49,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def session_conf(spark: SparkSession, name: str, value: int) -> Iterator[None]:
+def session_conf(spark: SparkSession, name: str, value: int | str) -> Iterator[None]:
     """The setting holds for what is planned and run in here."""
     before = spark.conf.get(name, None)
     spark.conf.set(name, str(value))

@@ -1,8 +1,11 @@
 """Whole jobs: shards written, resumed and streamed; readers that meet bad files."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from pairmill.operators.numbering import chunk_assign
 from pairmill.plans.featurize import accept_pairs, build_shards, featurize_pairs
 from pairmill.plans.training_feed import decoder_feed, latent_feed
 from pairmill.registry.base import table
@@ -279,3 +282,72 @@ def test_a_directory_per_chunk_is_listed_in_few_tasks(spark):
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("t-listing") for s in tracker.getJobInfo(j).stageIds]
     assert stages and sum(s.numTasks for s in stages if s) < 150
     assert found.count() == 300
+
+
+def _chunked(spark, sources):
+    """For each source as many chunks as it says, of two rows."""
+    rows = [(d, s, k, p, 2 * k + p, f"{s} {k} {p}") for (d, s), chunks in sources.items() for k in range(chunks) for p in range(2)]
+    return spark.createDataFrame(rows, "domain string, source string, chunk_id int, pos_in_chunk int, row_pos bigint, text string")
+
+
+def test_many_chunk_directories_are_listed_in_bounded_parts(spark, monkeypatch):
+    odd = "a b}, {c}*?[x]^/y=1%25"
+    rows = _chunked(spark, {("d", "s"): 230, ("d", None): 3, ("d", "007"): 4, (None, odd): 25, ("e", "s"): 1})
+    path = work_path(spark, "t-parts")
+    shards.write_shards(rows, path, chunk_dirs=True)
+    monkeypatch.setattr(shards, "MOST_LISTED", 10)
+    listed, by_bytes = [], shards._by_bytes
+    monkeypatch.setattr(shards, "_by_bytes", lambda found: listed.append(len(found.select("domain", "source", "chunk_id").distinct().collect())) or by_bytes(found))
+    found = shards.open_shards(spark, path).select(rows.columns)
+    assert listed == [10] * 26 + [3]
+    assert [f.dataType for f in found.schema] == [f.dataType for f in rows.schema]
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.collect()))
+    assert sorted(map(str, shards.scan_shards(spark, path).select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+
+
+def test_a_folder_of_two_layouts_is_not_read_in_part(spark):
+    path = work_path(spark, "t-layouts")
+    shards.write_shards(_chunked(spark, {("d", "s"): 2}), path, chunk_dirs=True)
+    shards.write_shards(_chunked(spark, {("d", "t"): 2}), path)
+    with pytest.raises(Exception, match="(?i)partition"):
+        shards.open_shards(spark, path).count()
+
+
+def test_few_chunk_directories_are_read_in_place_by_few_tasks(spark):
+    rows = _chunked(spark, {("d", "007"): 120, ("d", None): 2})
+    path = work_path(spark, "t-tasks")
+    shards.write_shards(rows, path, chunk_dirs=True)
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(name, str(8 << 20))
+    try:
+        found = shards.open_shards(spark, path).select(rows.columns)
+        assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert path in found.inputFiles()[0]
+        assert sorted(map(str, found.collect())) == sorted(map(str, rows.collect()))
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_exchanges_of_shards_go_when_they_are_written(spark):
+    def kept():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in files.mkString(" ").split() if "/shuffle_" in f and f.endswith(".data")}
+
+    rows = _chunked(spark, {("d", "s"): 20})
+    before = kept()
+    shards.write_shards(rows, work_path(spark, "t-exchanges"), chunk_dirs=True)
+    for _ in range(8):  # looked at seldom, as the driver's garbage collection would take them too
+        time.sleep(1)
+        left = kept() - before
+        if not left:
+            break
+    assert not left
+
+
+def test_numbers_that_nobody_reads_move_no_rows(spark):
+    rows = _chunked(spark, {("d", "s"): 20}).drop("chunk_id", "pos_in_chunk")
+    numbered = chunk_assign(rows, chunk_size=10, span=10)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan(numbered)
+    assert "Exchange" not in plan(numbered.drop("chunk_id", "pos_in_chunk"))
+    assert [r.chunk_id for r in numbered.orderBy("row_pos").collect()] == [k // 10 for k in range(40)]
